@@ -5,11 +5,16 @@ from __future__ import annotations
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .session import table
+from .token_count import token_counts
 
 
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup}
+def op9_token_counts(spark, sf_dir):
+    return token_counts(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
