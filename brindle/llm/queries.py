@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from .bpe import encoded
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .session import table
 from .token_count import token_counts
 
 
+def op2_bpe(spark, sf_dir):
+    return encoded(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -16,5 +21,5 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
