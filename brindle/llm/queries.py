@@ -5,10 +5,15 @@ from __future__ import annotations
 from .bpe import encoded
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
+from .quality_rules import quality_rules
 from .session import table
 from .token_count import token_counts
 
 
+def op1_quality_rules(spark, sf_dir):
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return encoded(table(spark, sf_dir, "documents"), digests=True)
 
@@ -21,5 +26,5 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
