@@ -7,6 +7,7 @@ from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .quality_rules import quality_rules
 from .session import table
+from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
 
@@ -26,5 +27,9 @@ def op9_token_counts(spark, sf_dir):
     return token_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
+def op10_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
