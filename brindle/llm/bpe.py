@@ -23,6 +23,7 @@ import hashlib
 import json
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -335,8 +336,7 @@ def compile_lexicon(docs: DataFrame, tokenizer: str, share: float = SHARE) -> st
     starts = ends - np.array([len(w) for w in found], np.int64)
     ids, counts = vocabulary(tokenizer).merge(buf, starts, ends)
     parts = build_lexicon(found, ids, counts)
-    digest = hashlib.sha256(b"".join(np.ascontiguousarray(v).tobytes() for v in parts.values())).hexdigest()[:24]
-    name = f"brindle-lexicon-{digest}.bin"
+    name = f"brindle-lexicon-{uuid.uuid4().hex}.bin"  # a name can be added once in a session
     folder = tempfile.mkdtemp(prefix="brindle-")
     save_lexicon(parts, f"{folder}/{name}")
     docs.sparkSession.sparkContext.addFile(f"{folder}/{name}")
