@@ -5,8 +5,10 @@ from __future__ import annotations
 from .bpe import encoded
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
+from .mixing import mix
 from .quality_rules import quality_rules
 from .session import table
+from .sharding import kd_shards
 from .substring_dedup import substring_dedup
 from .token_count import token_counts
 
@@ -31,5 +33,13 @@ def op10_substring_dedup(spark, sf_dir):
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op10_substring_dedup": op10_substring_dedup, "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
+def op5_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark, sf_dir):
+    return kd_shards(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op10_substring_dedup": op10_substring_dedup, "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
