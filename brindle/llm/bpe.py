@@ -390,7 +390,7 @@ def decode(ids: np.ndarray, vocab: Vocabulary) -> bytes:
 
 
 def encoded(docs: DataFrame, tokenizer: str | None = None, share: float = SHARE, digests: bool = False, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the carried columns, n_tokens, then token ids (array<int>), or their and the decoded text's digests."""
+    """doc_id, the carried columns, n_tokens, then token ids (array<int>), or the digests of ids and decoded text."""
     path, runs = tokenizer or default_tokenizer(), classes()
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *carry)

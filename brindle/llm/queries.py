@@ -6,6 +6,7 @@ from .bpe import encoded
 from .exact_dedup import SQL as EXACT_SQL
 from .exact_dedup import exact_dedup
 from .mixing import mix
+from .near_dedup import NearOptions, near_groups
 from .pii import personal_data
 from .quality_classifier import quality_scores
 from .quality_rules import quality_rules
@@ -51,5 +52,9 @@ def op7_quality_classifier(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op4_pii": op4_pii, "op7_quality_classifier": op7_quality_classifier, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op10_substring_dedup": op10_substring_dedup, "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
+def op6_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"), NearOptions(shingle=4))
+
+
+QUERIES = {"op6_near_dedup": op6_near_dedup, "op4_pii": op4_pii, "op7_quality_classifier": op7_quality_classifier, "op5_mixing": op5_mixing, "op8_sharding": op8_sharding, "op10_substring_dedup": op10_substring_dedup, "op1_quality_rules": op1_quality_rules, "op2_bpe": op2_bpe, "op9_token_counts": op9_token_counts, "op3_exact_dedup": op3_exact_dedup}
 ORACLES = {"op3_exact_dedup": EXACT_SQL}
