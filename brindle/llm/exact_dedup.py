@@ -8,8 +8,8 @@
 4. All other digests are shuffled as usual; each has at most support * rows rows, a fraction of a partition.
 
 Defined results: a null text counts as empty; all-blank texts equal one space and are equal to each other but not
-to the empty text; ties of the id cannot occur between different ids, rows that repeat an id form a group by text;
-an empty table gives an empty result; other columns of the input, whatever their names, are not read.
+to the empty text; rows that repeat both id and text are all kept or all dropped; a null id is larger than any other
+(a group of null ids only keeps them all), and rows of null id, which no key can name, stay in `deduplicated`; an empty table gives an empty result; other columns of the input, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -54,7 +54,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
     found = groups(stored(digests, "digests"), "doc_id", "text_sha256", support)
     return found.select(
-        "doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"
     )
 
 

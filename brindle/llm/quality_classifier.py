@@ -120,9 +120,9 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     """A model of at most `limit` labelled rows that are not held out."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = usable.select(F.col("doc_id").cast("long").alias("_id"), "quality").orderBy(F.xxhash64("_id"), "_id", "quality").limit(limit)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).filter(F.octet_length(text) <= MAX_TRAIN_BYTES)
-    got = rows.select("_id", text.alias("text"), F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(limit).collect()
+    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "_id")
+    got = rows.select("_id", "text", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(limit).collect()
     return train([r["text"] for r in got], np.array([r["y"] for r in got]))
 
 
