@@ -6,11 +6,13 @@
    all below j, for most after two or three steps.
 2. Documents of equal sets form classes (see exact_dedup, so one class may be a third of the rows); each class goes on
    as its smallest id.  Its bands are the LSH buckets.
-3. Verification on full sets, in rounds.  First every member of a bucket is held against the bucket's leader, the
+3. Candidates pass a one-bit sketch first: equal places agree in their low bit, others half the time, so a pair of
+   similarity 0.8 agrees in 90 % of the places, give or take 1.6 %; pairs 4.5 deviations below that are left out.
+4. Verification on full sets, in rounds.  First every member of a bucket is held against the bucket's leader, the
    member of the highest total bucket size, which is the centre of a group of near copies.  Links are merged by
    union-find.  In buckets whose members still have several components, the members outside the largest one are then
-   held against all members of other components, a few for each large bucket and round, until all have been.  Pairs
-   inside one component need no check, so groups of copies never expand into all pairs, and no bucket is capped.
+   held against all members of other components, more in each round, until all have been.  Pairs inside one component
+   need no check, so groups of copies never expand into all pairs, and no bucket is capped.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than
 a shingle is one element; equal sets are linked; rows that share an id are one node with the links of each; a null id
@@ -31,8 +33,10 @@ from .grouping import components
 from .session import bounded_arrow, stored
 from .textkit import U64, cut, flat, hash_spans, mapper, mix, windows, words
 
-PLACES, ROWS = 101, 4  # 25 bands of 4: a pair of similarity 0.8 is missed with probability 2e-6
-FRACTION_BITS = 25
+PLACES, ROWS = 347, 7  # 49 bands of 7: a pair of similarity 0.8 is missed with probability 1e-5
+LOOSE = 4.5  # standard deviations that a pair of similarity 0.8 may stay below its expected agreement
+FRACTION_BITS = 23
+AT_ONCE = 16  # members of a bucket that the first round holds against all others
 FEW_IDS = 1_000_000  # up to so many ids are broadcast to filter texts before they are shuffled
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -81,20 +85,36 @@ def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     g = mix(e ^ U64(0x5851F42D4C957F2D))
     a = ((g >> U64(32)) % U64(places)).astype(np.int64)
     b = ((g & U64(0xFFFFFFFF)) % U64(places - 1)).astype(np.int64) + 1
-    flat_sig, place = sig.reshape(-1), a
+    flat_sig, place, live = sig.reshape(-1), a, np.flatnonzero(sizes)
     for j in range(places):
         fraction = (mix(e + U64((j * 0x9E3779B97F4A7C15 + 1) % 2**64)) >> U64(64 - FRACTION_BITS)).astype(np.uint32)
         np.minimum.at(flat_sig, doc * places + place, fraction + np.uint32(j << FRACTION_BITS))
-        done = sig.max(axis=1) < np.uint32((j + 1) << FRACTION_BITS)
-        on = ~done[doc]
+        on = sig[live].max(axis=1) >= np.uint32((j + 1) << FRACTION_BITS)
         if not on.any():
             break
         if not on.all():
+            going = np.zeros(len(sets), bool)
+            live = live[on]
+            going[live] = True
+            on = going[doc]
             e, doc, b, place = e[on], doc[on], b[on], place[on]
         place = (place + b) % places
     return sig
 
 
+def bit_sketch(sig: np.ndarray) -> np.ndarray:
+    """The low bits of all places, 64 to a word."""
+    bits = np.zeros((len(sig), -(-sig.shape[1] // 64) * 64), np.uint8)
+    bits[:, : sig.shape[1]] = sig & 1
+    return np.packbits(bits, axis=1).view("<u8").astype(U64)
+
+
+def disagreements(o: NearOptions) -> int:
+    """The most low bits in which a pair of the asked similarity may differ."""
+    p = (1 + o.percent / 100) / 2
+    return int(np.ceil(o.places * (1 - p) + LOOSE * np.sqrt(o.places * p * (1 - p))))
+
+
 def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     n = sig.shape[1] // rows
     out = np.empty((len(sig), n), U64)
@@ -106,18 +126,35 @@ def band_keys(sig: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return out
 
 
+def _words(o: NearOptions) -> int:
+    return -(-o.places // 64)
+
+
 def _sketches(rows: DataFrame, o: NearOptions) -> DataFrame:
     def one(piece: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(piece.column(1), o.shingle)
-        keys = band_keys(super_minhash(sets, o.places), o.rows).view(np.int64)
-        own = []
+        sig = super_minhash(sets, o.places)
+        keys, bits, own = band_keys(sig, o.rows).view(np.int64), bit_sketch(sig).view(np.int64), []
         for s in sets:
             own.append(f"{int(np.bitwise_xor.reduce(mix(s + U64(1)))):016x}{int(mix(s ^ U64(77)).sum(dtype=U64)):016x}" if len(s) else "")
         n = keys.shape[1]
         bands = pa.ListArray.from_arrays(np.arange(0, len(sets) * n + 1, n, dtype=np.int32), keys.reshape(-1))
-        return pa.RecordBatch.from_arrays([piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), bands], ["doc_id", "n_shingles", "own", "bands"])
+        columns = [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), bands, *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "own", "bands", *(f"s{k}" for k in range(bits.shape[1]))])
+
+    bits = "".join(f", s{k} long" for k in range(_words(o)))
+    return rows.mapInArrow(mapper(one), f"doc_id long, n_shingles long, own string, bands array<long>{bits}")
 
-    return rows.mapInArrow(mapper(one), "doc_id long, n_shingles long, own string, bands array<long>")
+
+def _alike(o: NearOptions):
+    """Sizes and low bits of a and b allow the asked similarity."""
+    sizes = 100 * F.least("n_a", "n_b") >= o.percent * F.greatest("n_a", "n_b")
+    differ = sum((F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(1, _words(o))), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
+    return sizes & (differ <= disagreements(o))
+
+
+def _named(sketch: DataFrame, side: str, o: NearOptions) -> list:
+    return [F.col("n_shingles").alias(f"n_{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(_words(o)))]
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, o: NearOptions) -> DataFrame:
@@ -163,55 +200,45 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(_sketches(rows, o), "sketches")
     member = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(groups(member, "doc_id", "own").withColumnRenamed("keep_id", "rep").drop("group_size"), "classes")
-    reps = classes.filter("doc_id = rep").select("rep", "n_shingles", F.explode("bands").alias("band"))
-    shared = stored(
-        reps.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "size"),
-        "shared-bands",
-    )
-    buckets = stored(reps.join(shared, "band"), "buckets")  # band, rep, n_shingles, size
-    degree = stored(buckets.groupBy("rep").agg(F.sum("size").alias("degree")), "degrees")
-    leader = stored(
-        buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", -F.col("rep"), "n_shingles")).alias("top"))
-        .select("band", (-F.col("top.col2")).alias("a"), F.col("top.n_shingles").alias("n_a")),
-        "leaders",
-    )
-    alike = 100 * F.least("n_a", "n_b") >= o.percent * F.greatest("n_a", "n_b")
-    pairs = buckets.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b")).join(leader, "band").filter((F.col("a") != F.col("b")) & alike)
+    classes = stored(groups(member.select("doc_id", "n_shingles", "own"), "doc_id", "own").select("doc_id", "n_shingles", F.col("keep_id").alias("rep")), "classes")
+    copies = classes.filter("doc_id <> rep").select("doc_id")
+    reps = member.join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+    bands = reps.select("rep", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "size")
+    buckets = stored(bands.join(shared, "band").select("band", "rep", "size"), "buckets")
+    degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
+    leader = buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("a"))
+    pairs = buckets.select("band", F.col("rep").alias("b")).join(leader, "band").filter(F.col("a") != F.col("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    checked = stored(pairs, "pairs")
+    pairs = pairs.join(reps.select(F.col("rep").alias("a"), *_named(reps, "a", o)), "a").join(reps.select(F.col("rep").alias("b"), *_named(reps, "b", o)), "b")
+    checked = stored(pairs.filter(_alike(o)).select("a", "b"), "pairs")
     links = stored(_verified(checked, rows, o), "links")
     labels = components(links)
-    pivoted, at_once = leader.select("band", F.col("a").alias("rep")), 4
+    # buckets with several components: members outside the largest are held against all members of other components
+    bits = [f"s{k}" for k in range(_words(o))]
+    open_, at_once = buckets.filter("size > 2").select("band", "rep", F.lit(False).alias("done")), AT_ONCE
     while True:
-        # large buckets with several components: members outside the largest are held against all other components
-        named = buckets.filter("size > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        named = named.select("band", "rep", "n_shingles", "size", F.coalesce("label", "rep").alias("label"))
-        mixed = stored(named.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), "mixed-bands")
-        if mixed.isEmpty():
-            break
-        open_ = stored(named.join(mixed, "band"), "open")
-        most = open_.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"))
-        stray = open_.join(stored(most.select("band", F.col("top.label").alias("major")), "major"), "band").filter("label <> major")
-        stray = stray.join(pivoted, ["band", "rep"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy("rep"))
-        stray = stored(stray.withColumn("turn", turn).filter((F.col("turn") <= at_once) | (F.col("size") <= 16)), "strays")
-        if stray.isEmpty():
-            break
-        pivoted = stored(pivoted.unionByName(stray.select("band", "rep")), "pivots")
-        left = stray.select("band", F.col("rep").alias("a"), F.col("n_shingles").alias("n_a"), F.col("label").alias("label_a"))
-        right = open_.select("band", F.col("rep").alias("b"), F.col("n_shingles").alias("n_b"), "label")
-        pairs = left.join(right, "band").filter((F.col("label") != F.col("label_a")) & alike)
+        now = open_.select("band", "rep", "done").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        several = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
+        now = now.join(several.filter("labels > 1").select("band", F.col("top.label").alias("major")), "band")
+        waiting = (F.col("label") != F.col("major")) & ~F.col("done")
+        turn = F.row_number().over(Window.partitionBy("band").orderBy(F.when(waiting, 0).otherwise(1), "rep"))
+        now = now.withColumn("pivot", waiting & (turn <= at_once)).drop("major")
+        now = stored(now.join(reps.select("rep", "n_shingles", *bits), "rep"), "open")
+        pivots = now.filter("pivot").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), *_named(now, "a", o))
+        others = now.select("band", F.col("rep").alias("b"), "label", "done", *_named(now, "b", o))
+        pairs = pivots.join(others, "band").filter((F.col("label") != F.col("label_a")) & ~F.col("done") & _alike(o))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         new = stored(pairs, "pairs")
-        at_once *= 2
-        if new.isEmpty():
-            continue
-        checked = stored(checked.unionByName(new), "checked")
-        found = stored(_verified(new, rows, o), "links")
-        if not found.isEmpty():
-            links = stored(links.unionByName(found), "links")
-            labels = components(links)
+        open_, at_once = now.withColumn("done", F.col("done") | F.col("pivot")), 8 * at_once
+        if not new.isEmpty():
+            checked = stored(checked.unionByName(new), "checked")
+            found = stored(_verified(new, rows, o), "links")
+            if not found.isEmpty():
+                links = stored(links.unionByName(found), "links")
+                labels = components(links)
+        elif now.filter("pivot").isEmpty():
+            break
     named = classes.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     done = named.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     rest = sketch.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -26,7 +26,7 @@ def test_exact_odd(odd, empty):
     assert got[3]["group_size"] == 1 and got[7]["keep_id"] == 6 and got[7]["group_size"] == 3
     assert exact_dedup(empty).count() == 0
     kept = deduplicated(odd)
-    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(map(str, [1, 3, 4, 5, 6, 6, 8, 9, 10, None, None])  # rows without an id stay)
+    assert kept.columns == odd.columns and sorted(str(r["doc_id"]) for r in kept.select("doc_id").collect()) == sorted(map(str, [1, 3, 4, 5, 6, 6, 8, 9, 10, None, None]))  # rows without an id stay
 
 
 def test_exact_heavy_hitters(spark):
