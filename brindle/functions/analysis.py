@@ -5,12 +5,14 @@ Everything but stemming is made of built-in functions, so analysis stays inside
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stem import porter
 
@@ -24,10 +26,9 @@ STOP = {
     "_dutch_": "aan als bij dat de den der die dit door een en er haar het hij hoe ik in is je kan maar me met mijn naar niet nog nu of om ook op te tot uit van veel voor was wat we wel zo zij".split(),
     "_none_": [],
 }
-_FOLD_FROM = "àáâãäåāăąçćĉċčďđèéêëēĕėęěĝğġģĥħìíîïĩīĭįıĵķĺļľłñńņňòóôõöøōŏőŕŗřśŝşšţťŧùúûüũūŭůűųŵýÿŷźżžÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
-_FOLD_TO = "aaaaaaaaacccccddeeeeeeeeegggghhiiiiiiiiijklllłnnnnoooooooooRRRssssTTTuuuuuuuuuuwyyyzzzAAAAAACEEEEIIIINOOOOOUUUUY"
-_FOLD_TO = _FOLD_TO.replace("ł", "l").replace("RRR", "rrr").replace("TTT", "ttt")
-assert len(_FOLD_FROM) == len(_FOLD_TO)
+#: letters of the Latin blocks with a mark, and what is left without it
+_FOLDED = {chr(c): unicodedata.normalize("NFD", chr(c))[0] for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0] < "\x80"} | dict(zip("đłøħıŧĐŁØĦŦ", "dlohitDLOHT", strict=True))
+_FOLD_FROM, _FOLD_TO = "".join(_FOLDED), "".join(_FOLDED.values())
 WORD = r"[\p{L}\p{N}_]+(?:['’.](?=[\p{L}\p{N}])[\p{L}\p{N}_]+)*"
 
 
@@ -103,7 +104,7 @@ def char_filter(name: str, c: Column, o: dict[str, Any]) -> Column:
     raise ValueError(f"unknown char filter {name!r}")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _porter(tokens: pd.Series) -> pd.Series:
     return tokens.map(lambda x: None if x is None else [None if t is None else porter(t) for t in x])
 

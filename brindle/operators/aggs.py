@@ -1,0 +1,332 @@
+"""Aggregation trees compiled to one groupBy: every level of buckets is a set of grouping columns.
+
+The result is flat: one row for each bucket of the deepest level, with the keys of all levels, doc_count and metrics.
+Overlapping buckets (ranges, filters, several values of a field) come from one explode before the groupBy."""
+
+from __future__ import annotations
+
+import functools
+import operator
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import geo
+from ..plans import dates
+
+METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "percentiles", "percentile_ranks", "median_absolute_deviation", "cardinality", "weighted_avg", "matrix_stats", "geo_bounds", "geo_centroid", "top_hits", "scripted_metric"}
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+
+
+def label(p: float) -> str:
+    return str(int(p)) if float(p) == int(p) else str(p).replace(".", "_")
+
+
+def mean_bounds(c: Column, sigma: float) -> dict[str, Column]:
+    sd, mean = F.stddev_pop(c), F.avg(c)
+    return {"upper": mean + sigma * sd, "lower": mean - sigma * sd}
+
+
+class AggCompiler:
+    def __init__(self, compiler, df: DataFrame, index):
+        self.c, self.df, self.index = compiler, df, index
+        self.sizes: list[tuple] = []
+
+    def value(self, spec: dict) -> Column:
+        v = self.c.script(spec["script"]) if "script" in spec and "field" not in spec else self.c.col(spec["field"])
+        return F.coalesce(v, F.lit(spec["missing"])) if "missing" in spec else v
+
+    # -- metrics ----------------------------------------------------------------------------------------------------
+
+    def metric(self, name: str, kind: str, s: dict) -> dict[str, Column]:
+        if kind == "weighted_avg":
+            v, w = self.value(s["value"]), self.value(s["weight"])
+            both = v.isNotNull() & w.isNotNull()
+            return {name: F.try_divide(F.sum(F.when(both, v * w)), F.sum(F.when(both, w)))}
+        if kind == "matrix_stats":
+            return self.matrix(name, s)
+        if kind == "top_hits":
+            fields = s.get("_source") or self.c.df.columns
+            keys = [(next(iter(k.items())) if isinstance(k, dict) else (k, "asc")) for k in s.get("sort", [])]
+            n = int(s.get("size", 3))
+            signed = [-self.c.col(k) if (o if isinstance(o, str) else o.get("order", "asc")) == "desc" else self.c.col(k) for k, o in keys]
+            hit = F.struct(*(v.alias(f"k{i}") for i, v in enumerate(signed)), *(F.col(f).alias(f) for f in fields))
+            best = F.slice(F.array_sort(F.collect_list(hit)), 1 + int(s.get("from", 0)), n) if n > 1 else F.array(F.min(hit))
+            return {name: F.transform(best, lambda h: F.struct(*(h[f].alias(f) for f in fields)))}
+        v = self.value(s)
+        if kind == "geo_bounds":
+            return {f"{name}_{k}": f(v[x]) for k, f, x in (("top", F.max, "lat"), ("bottom", F.min, "lat"), ("left", F.min, "lon"), ("right", F.max, "lon"))}
+        if kind == "geo_centroid":
+            return {f"{name}_lat": F.avg(v["lat"]), f"{name}_lon": F.avg(v["lon"])}
+        if kind == "value_count":
+            return {name: F.count(v)}
+        if kind == "cardinality":
+            return {name: F.count_distinct(v) if s.get("exact", True) else F.approx_count_distinct(v, s.get("rsd", 0.02))}
+        if kind == "percentiles":
+            return {f"{name}_{label(p)}": (F.percentile(v, p / 100) if not s.get("approximate") else F.percentile_approx(v, p / 100)) for p in s.get("percents", PERCENTS)}
+        if kind == "percentile_ranks":
+            return {f"{name}_{label(p)}": F.avg((v <= p).cast("double")) * 100 for p in s["values"]}
+        if kind == "median_absolute_deviation":
+            raise ValueError("median_absolute_deviation is computed by deviation()")
+        plain = {"avg": F.avg, "sum": F.sum, "min": F.min, "max": F.max}
+        if kind in plain:
+            return {name: plain[kind](v)}
+        out = {f"{name}_count": F.count(v), **{f"{name}_{k}": f(v) for k, f in plain.items()}}
+        if kind == "extended_stats":
+            d = v.cast("double")
+            out |= {f"{name}_{k}": x for k, x in {"sum_of_squares": F.sum(d * d), "variance": F.var_pop(d), "variance_sampling": F.var_samp(d), "std_deviation": F.stddev_pop(d), "std_deviation_sampling": F.stddev_samp(d), **mean_bounds(d, float(s.get("sigma", 2)))}.items()}
+        return out
+
+    def matrix(self, name: str, s: dict) -> dict[str, Column]:
+        """Over documents that hold every field."""
+        cols = {f: self.c.col(f).cast("double") for f in s["fields"]}
+        whole = functools.reduce(operator.and_, (c.isNotNull() for c in cols.values()))
+        cols = {f: F.when(whole, c) for f, c in cols.items()}
+        out = {f"{name}_count": F.count(next(iter(cols.values())))}
+        for f, c in cols.items():
+            out |= {f"{name}_{f}_mean": F.avg(c), f"{name}_{f}_variance": F.var_samp(c), f"{name}_{f}_skewness": F.skewness(c), f"{name}_{f}_kurtosis": F.kurtosis(c) + 3}
+        names = list(cols)
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                out |= {f"{name}_{a}_{b}_covariance": F.covar_samp(cols[a], cols[b]), f"{name}_{a}_{b}_correlation": F.corr(cols[a], cols[b])}
+        return out
+
+    # -- buckets ----------------------------------------------------------------------------------------------------
+
+    def overlapping(self, df: DataFrame, name: str, tests: dict[str, Column]) -> tuple[DataFrame, list[str]]:
+        on = F.filter(F.array(*(F.when(t, F.lit(k)) for k, t in tests.items())), lambda x: x.isNotNull())
+        return df.withColumn(name, F.explode(on)), [name]
+
+    def bucket(self, df: DataFrame, name: str, kind: str, s: dict) -> tuple[DataFrame, list[str]]:
+        """`df` with the bucket's key columns."""
+        if kind in ("terms", "rare_terms", "significant_terms"):
+            if "field" in s and self.c.is_text(s["field"]):
+                df = df.withColumn(name, F.explode(F.array_distinct(self.c.tokens(s["field"]))))
+            elif "field" in s and self.c.many(s["field"]):
+                df = df.withColumn(name, F.explode(F.array_distinct(self.c.col(s["field"]))))
+            else:
+                df = df.withColumn(name, self.value(s)).filter(F.col(name).isNotNull())
+            for how, keep in (("include", True), ("exclude", False)):
+                if how in s:
+                    df = df.filter(self.listed(F.col(name), s[how]) if keep else ~self.listed(F.col(name), s[how]))
+            return df, [name]
+        if kind == "multi_terms":
+            keys = [f"{name}_{i}" for i in range(len(s["terms"]))]
+            df = df.withColumns({k: self.value(t) for k, t in zip(keys, s["terms"], strict=True)})
+            return df.dropna(subset=keys), keys
+        if kind == "histogram":
+            i, o = float(s["interval"]), float(s.get("offset", 0))
+            df = df.withColumn(name, F.floor((self.value(s) - o) / i) * i + o)
+            if "hard_bounds" in s:
+                df = df.filter(F.col(name).between(s["hard_bounds"]["min"], s["hard_bounds"]["max"]))
+            return df.filter(F.col(name).isNotNull()), [name]
+        if kind == "date_histogram":
+            return df.withColumn(name, date_floor(self.value(s), s)).filter(F.col(name).isNotNull()), [name]
+        if kind in ("range", "date_range", "ip_range", "geo_distance"):
+            tests = {}
+            v = self.value(s) if kind != "geo_distance" else geo.haversine(self.c.col(s["field"]), *geo.point(s["origin"])) / geo.meters(f"1{s.get('unit', 'm')}")
+            if kind == "date_range":
+                v = v.cast("timestamp_ntz")
+            if kind == "ip_range":
+                from ..plans.query import cidr, ip_key, ip_text
+
+                v = ip_key(v)
+            for r in s["ranges"]:
+                lo, hi = r.get("from"), r.get("to")
+                if kind == "ip_range" and "mask" in r:
+                    a, b = cidr(r["mask"])
+                    tests[r.get("key", r["mask"])] = v.between(a, b)
+                    continue
+                lit = (lambda x: F.lit(dates.evaluate(x)).cast("timestamp_ntz")) if kind == "date_range" else (lambda x: F.lit(ip_text(x))) if kind == "ip_range" else F.lit
+                t = v.isNotNull()
+                t = t & (v >= lit(lo)) if lo is not None else t
+                t = t & (v < lit(hi)) if hi is not None else t
+                tests[r.get("key", f"{'*' if lo is None else lo}-{'*' if hi is None else hi}")] = t
+            return self.overlapping(df, name, tests)
+        if kind in ("filter", "missing"):
+            test = self.c.compile(s).pred if kind == "filter" else self.c.col(s["field"]).isNull()
+            return self.overlapping(df, name, {kind: test})
+        if kind in ("filters", "adjacency_matrix"):
+            named = s["filters"] if isinstance(s["filters"], dict) else {str(i): q for i, q in enumerate(s["filters"])}
+            tests = {k: self.c.compile(q).pred for k, q in named.items()}
+            if kind == "adjacency_matrix":
+                sep, ks = s.get("separator", "&"), sorted(tests)
+                tests |= {f"{a}{sep}{b}": tests[a] & tests[b] for i, a in enumerate(ks) for b in ks[i + 1 :]}
+            elif s.get("other_bucket") or "other_bucket_key" in s:
+                tests[s.get("other_bucket_key", "_other_")] = ~functools.reduce(operator.or_, tests.values())
+            return self.overlapping(df, name, tests)
+        if kind == "composite":
+            keys = []
+            for source in s["sources"]:
+                (key, one), = source.items()
+                (how, o), = one.items()
+                if o.get("missing_bucket"):
+                    df = df.withColumn(key, self.value(o))
+                else:
+                    df, _ = self.bucket(df, key, how, o)
+                keys.append(key)
+            return df, keys
+        if kind in ("geohash_grid", "geotile_grid"):
+            f = geo.geohash(self.c.col(s["field"]), s.get("precision", 5)) if kind == "geohash_grid" else geo.geotile(self.c.col(s["field"]), s.get("precision", 7))
+            return df.filter(self.c.col(s["field"]).isNotNull()).withColumn(name, f), [name]
+        if kind == "nested":
+            return df.withColumn(f"__{s['path']}", F.explode(self.c.col(s["path"]))).withColumn(name, F.lit(s["path"])), [name]
+        if kind == "global":
+            return self.index.df.withColumn(name, F.lit("global")), [name]
+        if kind == "auto_date_histogram":
+            return df.withColumn(name, date_floor(self.value(s), self.ladder(df, s))), [name]
+        if kind in ("sampler", "diversified_sampler"):
+            key = self.index.id_col or "_id"
+            if kind == "diversified_sampler":
+                w = Window.partitionBy(self.c.col(s["field"])).orderBy(key)
+                df = df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= s.get("max_docs_per_value", 1)).drop("__r")
+            return df.orderBy(key).limit(int(s.get("shard_size", 100))).withColumn(name, F.lit("sample")), [name]
+        raise ValueError(f"unknown aggregation [{kind}]")
+
+    def listed(self, c: Column, spec: Any) -> Column:
+        if isinstance(spec, dict):
+            return F.pmod(F.xxhash64(c), F.lit(spec["num_partitions"])) == spec["partition"]
+        return c.isin(list(spec)) if isinstance(spec, list) else c.cast("string").rlike(f"^(?:{spec})$")
+
+    def ladder(self, df: DataFrame, s: dict) -> dict:
+        """The first step of the ladder that gives few enough buckets, from one min/max pass."""
+        v = F.unix_seconds(self.value(s).cast("timestamp"))
+        lo, hi = df.agg(F.min(v), F.max(v)).first()
+        steps = [("1s", 1), ("5s", 5), ("10s", 10), ("30s", 30), ("1m", 60), ("5m", 300), ("10m", 600), ("30m", 1800), ("1h", 3600), ("3h", 10800), ("12h", 43200), ("1d", 86400), ("7d", 604800), ("month", 2629746), ("quarter", 7889238), ("year", 31556952)]
+        for text, n in steps:
+            if lo is None or (hi - lo) // n + 1 <= s.get("buckets", 10):
+                break
+        return {"calendar_interval": text} if n > 604800 else {"fixed_interval": text}
+
+    # -- the tree -----------------------------------------------------------------------------------------------------
+
+    def table(self, tree: dict[str, dict]) -> DataFrame:
+        """A chain of bucket levels with metrics at the deepest; sibling pipelines are in operators.pipeline."""
+        df, keys, levels, metrics = self.df, [], [], {}
+        while tree:
+            buckets = {n: a for n, a in tree.items() if not METRICS & set(a)}
+            if len(buckets) > 1:
+                raise ValueError(f"one bucket aggregation to a level makes a flat table; ask for {sorted(buckets)} one by one")
+            metrics = {n: a for n, a in tree.items() if METRICS & set(a)} if not buckets else metrics
+            if not buckets:
+                break
+            (name, spec), = buckets.items()
+            kind = next(k for k in spec if k not in ("aggs", "aggregations", "meta"))
+            df, own = self.bucket(df, name, kind, spec[kind])
+            levels.append((name, kind, spec[kind], own))
+            keys += own
+            below = spec.get("aggs") or spec.get("aggregations") or {}
+            metrics |= {n: a for n, a in below.items() if METRICS & set(a)} if not any(not METRICS & set(a) for a in below.values()) else {}
+            tree = {n: a for n, a in below.items() if not METRICS & set(a)}
+        columns, deviations = {}, {}
+        for n, a in metrics.items():
+            (kind, s), = ((k, v) for k, v in a.items() if k in METRICS)
+            if kind == "median_absolute_deviation":
+                deviations[n] = self.value(s)
+            else:
+                columns |= self.metric(n, kind, s)
+        count = F.sum(F.coalesce(F.col("_doc_count"), F.lit(1))) if "_doc_count" in df.columns else F.count(F.lit(1))
+        out = df.groupBy(*keys).agg(count.cast("long").alias("doc_count"), *(v.alias(n) for n, v in columns.items()))
+        for n, v in deviations.items():
+            out = self.deviation(df, keys, n, v, out)
+        for name, kind, s, own in levels:
+            out = self.cut(out, name, kind, s, own, keys, len(levels))
+        return out if keys else out.drop("doc_count")
+
+    def deviation(self, df: DataFrame, keys: list[str], name: str, v: Column, out: DataFrame) -> DataFrame:
+        """Median of distances to the median, in two passes."""
+        rows = df.select(*keys, v.cast("double").alias("__v"))
+        if not keys:
+            m = rows.agg(F.percentile("__v", 0.5).alias("__m"))
+            return out.join(rows.join(F.broadcast(m)).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name)))  # one row each
+        m = rows.groupBy(*keys).agg(F.percentile("__v", 0.5).alias("__m"))
+        return out.join(rows.join(m, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name)), keys)
+
+    def cut(self, out: DataFrame, name: str, kind: str, s: dict, own: list[str], keys: list[str], levels: int) -> DataFrame:
+        """min_doc_count, order and size; inside a parent bucket by a window."""
+        if kind == "rare_terms":
+            return out.filter(F.col("doc_count") <= s.get("max_doc_count", 1))
+        if "min_doc_count" in s and s["min_doc_count"] > 1:
+            out = out.filter(F.col("doc_count") >= s["min_doc_count"])
+        if kind == "composite":
+            order = []
+            for source in s["sources"]:
+                (key, one), = source.items()
+                (_, o), = one.items()
+                last = o.get("missing_order") == "last"
+                c = F.col(key)
+                order.append((c.desc_nulls_last() if last else c.desc_nulls_first()) if o.get("order") == "desc" else (c.asc_nulls_last() if last else c.asc_nulls_first()))
+            if "after" in s:
+                test, same = F.lit(False), F.lit(True)
+                for source in s["sources"]:
+                    (key, one), = source.items()
+                    (_, o), = one.items()
+                    v = F.lit(s["after"][key])
+                    test = test | (same & ((F.col(key) < v) if o.get("order") == "desc" else (F.col(key) > v)))
+                    same = same & (F.col(key) == v)
+                out = out.filter(test)
+            return out.orderBy(*order).limit(int(s.get("size", 10)))
+        if kind not in ("terms", "multi_terms"):
+            return out
+        order = s.get("order", {"_count": "desc"})
+        order = order if isinstance(order, list) else [order]
+        cols = [(F.col({"_count": "doc_count", "_key": own[0]}.get(k, k.replace(".", "_"))), v) for o in order for k, v in o.items()]
+        sort = [c.desc() if v == "desc" else c.asc() for c, v in cols] + [F.col(k).asc() for k in own]
+        parents = keys[: keys.index(own[0])]
+        if levels == 1:
+            return out.orderBy(*sort).limit(int(s.get("size", 10)))
+        if keys[-1] == own[-1]:
+            w = Window.partitionBy(*parents).orderBy(*sort) if parents else Window.orderBy(*sort)
+            return out.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= s.get("size", 10)).drop("__r")
+        totals = out.groupBy(*parents, *own).agg(F.sum("doc_count").alias("__n"))
+        best = totals.orderBy(F.desc("__n"), *own).limit(int(s.get("size", 10))) if not parents else totals
+        return out.join(F.broadcast(best.drop("__n")), [*parents, *own])  # at most `size` keys
+
+
+def date_floor(v: Column, s: dict) -> Column:
+    """The start of the calendar or fixed interval, in the asked zone, as a timestamp without zone."""
+    v, zone = v.cast("timestamp_ntz"), s.get("time_zone", "UTC")
+    shift = dates.seconds(s["offset"].lstrip("+-")) * (-1 if s["offset"].startswith("-") else 1) if "offset" in s else 0
+    t = v.cast("timestamp")
+    if zone != "UTC":
+        t = F.from_utc_timestamp(t, zone)
+    if shift:
+        t = F.timestamp_micros(F.unix_micros(t) - int(shift * 1e6))
+    unit = s.get("calendar_interval") or (s.get("interval") if s.get("interval") in dates.CALENDAR else None)
+    if unit:
+        t = F.date_trunc(dates.CALENDAR[unit], t)
+    else:
+        step = int(dates.seconds(s.get("fixed_interval") or s["interval"]) * 1e6)
+        t = F.timestamp_micros(F.unix_micros(t) - F.pmod(F.unix_micros(t), F.lit(step)))
+    if shift:
+        t = F.timestamp_micros(F.unix_micros(t) + int(shift * 1e6))
+    if zone != "UTC":
+        t = F.to_utc_timestamp(t, zone)
+    return t.cast("timestamp_ntz")
+
+
+def filled(table: DataFrame, key: str, step: Any, by: list[str] | None = None, bounds: tuple | None = None) -> DataFrame:
+    """Empty buckets between the least and the greatest key (or the extended bounds), with doc_count 0."""
+    lo, hi = F.min(key), F.max(key)
+    if bounds:
+        lo, hi = F.least(lo, F.lit(bounds[0])), F.greatest(hi, F.lit(bounds[1]))
+    frame = table.groupBy(*(by or [])).agg(lo.alias("__lo"), hi.alias("__hi"))
+    every = frame.select(*(by or []), F.explode(F.sequence("__lo", "__hi", step if isinstance(step, Column) else F.lit(step))).alias(key))
+    return every.join(table, [*(by or []), key], "left").fillna(0, ["doc_count"])
+
+
+def significant(engine, name: str, query: dict, field: str, size: int = 10, min_doc_count: int = 3) -> DataFrame:
+    """Terms more frequent in the query's documents than in all: (fg - bg) * fg / bg of the shares."""
+    ix = engine.index(name)
+    c = engine.compiler(ix, scoring=False)
+    on = c.compile(query).pred
+    term = F.explode(F.array_distinct(c.tokens(field) if c.is_text(field) else F.array(c.col(field)))).alias("key")
+    rows = c.df.select(on.alias("__on"), term).filter(F.col("key").isNotNull())
+    totals = c.df.agg(F.count(F.lit(1)).alias("__n"), F.count_if(on).alias("__f"))
+    out = rows.groupBy("key").agg(F.count_if("__on").alias("doc_count"), F.count(F.lit(1)).alias("bg_count")).filter(F.col("doc_count") >= min_doc_count)
+    fg, bg = F.col("doc_count") / F.col("__f"), F.col("bg_count") / F.col("__n")
+    out = out.join(F.broadcast(totals)).withColumn("score", (fg - bg) * (fg / bg)).filter("score > 0")  # totals: one row
+    return out.select("key", "doc_count", "bg_count", "score").orderBy(F.desc("score"), "key").limit(size)
+
+
