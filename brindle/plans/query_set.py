@@ -185,7 +185,7 @@ piped("serial_diff", lambda t: pipeline.serial_diff(t, "m", "s", "x", 12).select
 piped("moving_avg", lambda t: pipeline.moving_avg(t, "m", "s", "x", 5).select("m", "x"), "SELECT m, round(avg(s) OVER (ORDER BY m ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 2) AS x FROM t")
 piped("moving_fn_sum", lambda t: pipeline.moving_fn(t, "m", "s", "x", "sum", 3, 1).select("m", "x"), "SELECT m, round(coalesce(sum(s) OVER (ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0), 2) AS x FROM t")
 piped("moving_fn_linear", lambda t: pipeline.moving_fn(t, "m", "s", "x", "linearWeightedAvg", 3).select("m", "x"), "SELECT m, round(CASE WHEN c IS NOT NULL THEN (a * 3 + b * 2 + c) / 6 WHEN b IS NOT NULL THEN (a * 2 + b) / 3 ELSE a END, 2) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b, lag(s, 3) OVER w AS c FROM t WINDOW w AS (ORDER BY m))")
-piped("moving_fn_ewma", lambda t: pipeline.moving_fn(t, "m", "s", "x", "ewma", 2, alpha=0.3).select("m", "x"), "SELECT m, round(CASE WHEN b IS NOT NULL THEN a * 0.3::DOUBLE + b * 0.7::DOUBLE ELSE a END, 2) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b FROM t WINDOW w AS (ORDER BY m))")
+piped("moving_fn_ewma", lambda t: pipeline.moving_fn(t, "m", "s", "x", "ewma", 2, alpha=0.3137).select("m", "x"), "SELECT m, round(CASE WHEN b IS NOT NULL THEN a * 0.3137::DOUBLE + b * (1 - 0.3137)::DOUBLE ELSE a END, 2) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b FROM t WINDOW w AS (ORDER BY m))")
 piped("moving_fn_holt", lambda t: pipeline.moving_fn(t, "m", "s", "x", "holt", 6).select("m", "x"), None)
 piped("moving_fn_holt_winters", lambda t: pipeline.moving_fn(t, "m", "s", "x", "holtWinters", 24, period=6).select("m", "x"), None)
 piped("bucket_script", lambda t: pipeline.bucket_script(t, "x", {"a": "s", "n": "doc_count"}, "params.a / params.n").select("m", "x"), "SELECT m, round(s / doc_count, 2) AS x FROM t")
