@@ -5,10 +5,13 @@
    j-th place.  All elements of a slice take step j together; a text stops as soon as the ranks of its signature are
    all below j, for most after two or three steps.
 2. Documents of equal sets form classes (see exact_dedup, so one class may be a third of the rows); each class goes on
-   as its smallest id.  Its bands are the LSH buckets.
-3. Candidates pass a sketch of two bits for each place first: equal places agree in both, others a quarter of the time,
-   so a pair of similarity 0.8 agrees in 85 % of the places, give or take 1.3 %; pairs 4.5 deviations below that are
-   left out.
+   as its smallest id.  Its bands are the LSH buckets.  Sets of up to 50 shingles, too small for places to be
+   independent, have the elements of their prefix as buckets instead: in the order of rarity over the small sets, two
+   sets of the asked similarity share an element of the first n - ceil(0.8 n) + 1, so none of their pairs is missed.
+   Sets of up to 62 shingles, the largest that may be linked with such a set, have both.
+3. Candidates pass two bounds first, which no pair of the asked similarity can fail: the ratio of sizes, and the number
+   of bits in which their odd sketches (each bit the parity of the elements that hash to it) differ, which is never
+   more than the number of elements that only one of the sets has.
 4. Verification on full sets, in rounds.  First every member of a bucket is held against the bucket's leader, the
    member of the highest total bucket size, which is the centre of a group of near copies.  Links are merged by
    union-find.  In buckets whose members still have several components, the members outside the largest one are then
@@ -34,9 +37,10 @@ from .grouping import components
 from .session import bounded_arrow, stored
 from .textkit import U64, cut, flat, hash_spans, mapper, mix, windows, words
 
-PLACES, BANDS, ROWS = 701, 49, 7  # a pair of similarity 0.8 shares none of the bands with probability 1e-5
-LOOSE = 4.5  # standard deviations that a pair of similarity 0.8 may stay below its expected agreement
-FRACTION_BITS = 22
+PLACES, BANDS, ROWS = 421, 60, 7  # a pair of similarity 0.8 shares none of the bands with probability 7e-7
+SHORT = 50  # sets of up to so many shingles find their pairs by prefixes, without a miss
+SKETCH_WORDS = 16  # of 64 bits; a power of two
+FRACTION_BITS = 23
 AT_ONCE = 16  # members of a bucket that the first round holds against all others
 FEW_IDS = 1_000_000  # up to so many ids are broadcast to filter texts before they are shuffled
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -104,61 +108,68 @@ def super_minhash(sets: list[np.ndarray], places: int = PLACES) -> np.ndarray:
     return sig
 
 
-def bit_sketch(sig: np.ndarray) -> np.ndarray:
-    """The lowest bits of all places, 64 to a word, then their second lowest bits."""
-    planes = np.zeros((len(sig), 2, -(-sig.shape[1] // 64) * 64), np.uint8)
-    planes[:, 0, : sig.shape[1]], planes[:, 1, : sig.shape[1]] = sig & 1, (sig >> 1) & 1
-    return np.packbits(planes.reshape(len(sig), -1), axis=1).view("<u8").astype(U64)
-
-
-def disagreements(o: NearOptions) -> int:
-    """The most places in which the sketches of a pair of the asked similarity may differ."""
-    p = 0.25 + 0.75 * o.percent / 100
-    return int(np.ceil(o.places * (1 - p) + LOOSE * np.sqrt(o.places * p * (1 - p))))
+def odd_sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """Bits (texts x SKETCH_WORDS words), each the parity of the elements that hash to it."""
+    out = np.zeros((len(sets), SKETCH_WORDS), U64)
+    if sets:
+        h = mix(np.concatenate(sets) ^ U64(0xA0761D6478BD642F))
+        at = np.repeat(np.arange(len(sets)) * SKETCH_WORDS, [len(s) for s in sets]) + ((h >> U64(6)) % U64(SKETCH_WORDS)).astype(np.int64)
+        np.bitwise_xor.at(out.reshape(-1), at, U64(1) << (h & U64(63)))
+    return out
 
 
 def band_keys(sig: np.ndarray, n: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """Keys of bands of scattered places: in neighbouring ones the same few elements win together."""
     out = np.empty((len(sig), n), U64)
+    order = np.argsort(mix(np.arange(sig.shape[1]).astype(U64) + U64(1)), kind="stable")
     for k in range(n):
         h = np.full(len(sig), U64(k + 1))
-        for c in range(k * rows, (k + 1) * rows):
+        for c in order[k * rows : (k + 1) * rows]:
             h = mix(h * U64(0x9E3779B97F4A7C15) ^ sig[:, c].astype(U64))
         out[:, k] = h
     return out
 
 
-def _words(o: NearOptions) -> int:
-    return 2 * -(-o.places // 64)
-
-
 def _sketches(rows: DataFrame, o: NearOptions) -> DataFrame:
+    linked = SHORT * 100 // max(o.percent, 1)  # the largest set that may be linked with one of up to SHORT
+
     def one(piece: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(piece.column(1), o.shingle)
-        sig = super_minhash(sets, o.places)
-        keys, bits, own = band_keys(sig, o.bands, o.rows).view(np.int64), bit_sketch(sig).view(np.int64), []
+        long_ = np.flatnonzero([len(s) > SHORT for s in sets])
+        keys = band_keys(super_minhash([sets[i] for i in long_], o.places), o.bands, o.rows).view(np.int64)
+        bits, own = odd_sketch(sets).view(np.int64), []
         for s in sets:
             own.append(f"{int(np.bitwise_xor.reduce(mix(s + U64(1)))):016x}{int(mix(s ^ U64(77)).sum(dtype=U64)):016x}" if len(s) else "")
-        n = keys.shape[1]
-        bands = pa.ListArray.from_arrays(np.arange(0, len(sets) * n + 1, n, dtype=np.int32), keys.reshape(-1))
-        columns = [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), bands, *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "own", "bands", *(f"s{k}" for k in range(bits.shape[1]))])
+        n = np.zeros(len(sets), np.int32)
+        n[long_] = keys.shape[1]
+        bands = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(n)]).astype(np.int32), keys.reshape(-1))
+        short = pa.array([s.view(np.int64) if 0 < len(s) <= linked else None for s in sets], pa.list_(pa.int64()))
+        columns = [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(own, pa.string()), bands, short, *(pa.array(bits[:, k]) for k in range(bits.shape[1]))]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "own", "bands", "short", *(f"s{k}" for k in range(bits.shape[1]))])
+
+    bits = "".join(f", s{k} long" for k in range(SKETCH_WORDS))
+    return rows.mapInArrow(mapper(one), f"doc_id long, n_shingles long, own string, bands array<long>, short array<long>{bits}")
+
 
-    bits = "".join(f", s{k} long" for k in range(_words(o)))
-    return rows.mapInArrow(mapper(one), f"doc_id long, n_shingles long, own string, bands array<long>{bits}")
+def _prefixes(reps: DataFrame, o: NearOptions) -> DataFrame:
+    """rep, band: the rarest elements of each small set, as many as a set of the asked similarity must share one of."""
+    each = reps.filter("short IS NOT NULL").select("rep", "own", "n_shingles", F.explode("short").alias("band"))
+    often = each.groupBy("band").agg(F.count(F.lit(1)).alias("often"))
+    ordered = each.join(often, "band").groupBy("rep", "own", "n_shingles").agg(F.sort_array(F.collect_set(F.struct("often", "band"))).alias("e"))
+    first = F.expr(f"CAST(n_shingles - ({o.percent} * n_shingles + 99) DIV 100 + 1 AS INT)")
+    return ordered.select("rep", F.explode(F.slice("e", F.lit(1), first)).alias("e")).select("rep", F.col("e.band").alias("band")).distinct()
 
 
 def _alike(o: NearOptions):
-    """Sizes and sketches of a and b allow the asked similarity."""
+    """Sizes and sketches of a and b allow the asked similarity; never false for a pair that has it."""
     sizes = 100 * F.least("n_a", "n_b") >= o.percent * F.greatest("n_a", "n_b")
-    half = _words(o) // 2
-    unlike = lambda k: F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))
-    each = [F.bit_count(unlike(k).bitwiseOR(unlike(k + half))) for k in range(half)]
+    each = [F.bit_count(F.col(f"a{k}").bitwiseXOR(F.col(f"b{k}"))) for k in range(SKETCH_WORDS)]
     differ = sum(each[1:], each[0])
-    return sizes & (differ <= disagreements(o))
+    return sizes & ((100 + o.percent) * differ <= (100 - o.percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def _named(sketch: DataFrame, side: str, o: NearOptions) -> list:
-    return [F.col("n_shingles").alias(f"n_{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(_words(o)))]
+def _named(sketch: DataFrame, side: str) -> list:
+    return [F.col("n_shingles").alias(f"n_{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(SKETCH_WORDS))]
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, o: NearOptions) -> DataFrame:
@@ -207,19 +218,19 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
     classes = stored(groups(member.select("doc_id", "n_shingles", "own"), "doc_id", "own").select("doc_id", "n_shingles", F.col("keep_id").alias("rep")), "classes")
     copies = classes.filter("doc_id <> rep").select("doc_id")
     reps = member.join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
-    bands = reps.select("rep", F.explode("bands").alias("band"))
+    bands = reps.select("rep", F.explode("bands").alias("band")).unionByName(stored(_prefixes(reps, o), "prefixes"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "size")
     buckets = stored(bands.join(shared, "band").select("band", "rep", "size"), "buckets")
     degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
     leader = buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("a"))
     pairs = buckets.select("band", F.col("rep").alias("b")).join(leader, "band").filter(F.col("a") != F.col("b"))
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("rep").alias("a"), *_named(reps, "a", o)), "a").join(reps.select(F.col("rep").alias("b"), *_named(reps, "b", o)), "b")
+    pairs = pairs.join(reps.select(F.col("rep").alias("a"), *_named(reps, "a")), "a").join(reps.select(F.col("rep").alias("b"), *_named(reps, "b")), "b")
     checked = stored(pairs.filter(_alike(o)).select("a", "b"), "pairs")
     links = stored(_verified(checked, rows, o), "links")
     labels = components(links)
     # buckets with several components: members outside the largest are held against all members of other components
-    bits = [f"s{k}" for k in range(_words(o))]
+    bits = [f"s{k}" for k in range(SKETCH_WORDS)]
     open_, at_once = buckets.filter("size > 2").select("band", "rep", F.lit(False).alias("done")), AT_ONCE
     while True:
         now = open_.select("band", "rep", "done").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
@@ -229,8 +240,8 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
         turn = F.row_number().over(Window.partitionBy("band").orderBy(F.when(waiting, 0).otherwise(1), "rep"))
         now = now.withColumn("pivot", waiting & (turn <= at_once)).drop("major")
         now = stored(now.join(reps.select("rep", "n_shingles", *bits), "rep"), "open")
-        pivots = now.filter("pivot").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), *_named(now, "a", o))
-        others = now.select("band", F.col("rep").alias("b"), "label", "done", *_named(now, "b", o))
+        pivots = now.filter("pivot").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), *_named(now, "a"))
+        others = now.select("band", F.col("rep").alias("b"), "label", "done", *_named(now, "b"))
         pairs = pivots.join(others, "band").filter((F.col("label") != F.col("label_a")) & ~F.col("done") & _alike(o))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
         new = stored(pairs, "pairs")

@@ -1,9 +1,10 @@
 import duckdb
+import numpy as np
 import pytest
 from llm_brute import near_components, shingles, substring
 
 from brindle.llm.exact_dedup import SQL, deduplicated, exact_dedup
-from brindle.llm.near_dedup import NearOptions, near_groups
+from brindle.llm.near_dedup import BANDS, ROWS, NearOptions, band_keys, near_groups, odd_sketch, super_minhash
 from brindle.llm.near_dedup import deduplicated as near_deduplicated
 from brindle.llm.substring_dedup import FingerprintIndex, substring_dedup
 
@@ -57,6 +58,32 @@ def test_near_chains_and_large_groups(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_groups(df, NearOptions(shingle=4)).collect()} == want
 
 
+def test_near_small_sets_miss_no_pair(spark):
+    """Pairs of exactly 0.8 with few shingles, each alone: four words, and the same with a fifth."""
+    rows = []
+    for k in range(3000):
+        w = [f"p{k}_{j}" for j in range(5)]
+        rows += [(2 * k, " ".join(w[:4])), (2 * k + 1, " ".join(w))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = near_groups(df, NearOptions(shingle=1)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i - i % 2 for i, _ in rows}
+
+
+def test_near_bound_loses_no_link():
+    """The odd sketch never differs in more bits than the sets do in elements; bands miss no pair of 0.8 in 3,000."""
+    rng = np.random.default_rng(3)
+    for n in (4, 60, 90, 900, 4000):
+        for keep in (0.8, 0.9):
+            a = rng.integers(0, 2**63, n).astype(np.uint64)
+            b = np.concatenate([a[: int(keep * n)], rng.integers(0, 2**63, n // 20).astype(np.uint64)])
+            x, y = odd_sketch([a, b])
+            assert sum(int(v).bit_count() for v in x ^ y) <= len(np.setxor1d(a, b))
+    assert BANDS * np.log(1 - 0.8**ROWS) <= 25 * np.log(1 - 0.8**4)
+    sets = rng.integers(0, 2**63, (3000, 75)).astype(np.uint64)
+    keys = [band_keys(super_minhash(list(s))) for s in (sets, sets[:, :60])]
+    assert (keys[0] == keys[1]).any(axis=1).all()
+
+
 def test_near_odd(odd, empty):
     got = near_groups(odd, NearOptions(shingle=4)).collect()
     assert len(got) == odd.count()
