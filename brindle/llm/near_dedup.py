@@ -215,9 +215,12 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sketch = stored(_sketches(rows, o), "sketches")
     member = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(groups(member.select("doc_id", "n_shingles", "own"), "doc_id", "own").select("doc_id", "n_shingles", F.col("keep_id").alias("rep")), "classes")
-    copies = classes.filter("doc_id <> rep").select("doc_id")
-    reps = member.join(copies, "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+    classes = stored(groups(member.select("doc_id", "n_shingles", "own"), "doc_id", "own").select("doc_id", "n_shingles", "own", F.col("keep_id").alias("rep")), "classes")
+    copies = classes.filter("doc_id <> rep").select("doc_id", "own")
+    reps = member.join(copies, ["doc_id", "own"], "left_anti").withColumnRenamed("doc_id", "rep")
+    # an id with rows in several classes links them
+    ids = classes.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).filter("a < hi").select("doc_id", "a")
+    one_id = classes.join(ids, "doc_id").filter("a < rep").select("a", F.col("rep").alias("b")).distinct()
     bands = reps.select("rep", F.explode("bands").alias("band")).unionByName(stored(_prefixes(reps, o), "prefixes"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "size")
     buckets = stored(bands.join(shared, "band").select("band", "rep", "size"), "buckets")
@@ -227,7 +230,7 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = pairs.join(reps.select(F.col("rep").alias("a"), *_named(reps, "a")), "a").join(reps.select(F.col("rep").alias("b"), *_named(reps, "b")), "b")
     checked = stored(pairs.filter(_alike(o)).select("a", "b"), "pairs")
-    links = stored(_verified(checked, rows, o), "links")
+    links = stored(_verified(checked, rows, o).unionByName(one_id), "links")
     labels = components(links)
     # buckets with several components: members outside the largest are held against all members of other components
     bits = [f"s{k}" for k in range(SKETCH_WORDS)]

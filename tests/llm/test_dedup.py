@@ -84,6 +84,13 @@ def test_near_bound_loses_no_link():
     assert (keys[0] == keys[1]).any(axis=1).all()
 
 
+def test_near_repeated_ids_keep_the_links_of_each_row(spark):
+    one, two = [f"a{i}" for i in range(80)], [f"b{i}" for i in range(80)]
+    rows = [(5, " ".join(one)), (9, " ".join(one)), (9, " ".join(two)), (12, " ".join([*two, "more"])), (20, "something else entirely")]
+    got = near_groups(spark.createDataFrame(rows, "doc_id long, text string"), NearOptions(shingle=4)).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(5, 5), (9, 5), (9, 5), (12, 5), (20, 20)]
+
+
 def test_near_odd(odd, empty):
     got = near_groups(odd, NearOptions(shingle=4)).collect()
     assert len(got) == odd.count()
