@@ -1,16 +1,16 @@
 """Quality rules: base counts, and Jensen-Shannon distances of a document's histograms to language references.
 
-The references are counted over all documents in a first pass: for each language that holds at least `MIN_LANG` of all
-words, the distribution over eight character classes, and over the language's common words (each at least `COMMON` of
-its words) with one bin for the rest.  So there are at most 1/MIN_LANG languages of at most 1/COMMON words.  Each task
-sums in numpy and drops, as it goes, words below half of COMMON of what it has seen (lossy counting), so neither a task
-nor the driver holds more than these bounds allow.
+The references are counted over all documents in a first pass: for each language that has `ENOUGH` words, or `MIN_LANG`
+of all words where that is less, the distribution over eight character classes, and over the language's common words
+(each at least `COMMON` of its words) with one bin for the rest.  So a language has at most 1/COMMON words, however many
+languages there are.  Each task sums in numpy and drops, as it goes, words below half of COMMON of what it has seen
+(lossy counting).
 
 A document fails if its distance to its language's reference is over a limit, provided that it is long enough for the
-histogram to mean something; a document whose language has no reference is held against the nearest one.
+histogram to mean something; of a document whose language has no reference only the base rule decides.
 
-Defined results: a null or empty text has no words and fails the base rule; a null or unknown language takes the
-nearest reference; without any reference the distances are null and only the base rule counts; repeated rows are judged
+Defined results: a null or empty text has no words and fails the base rule; a null language takes the
+nearest reference; without a reference the distances are null and only the base rule counts; repeated rows are judged
 each; an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,6 +27,7 @@ from .session import bounded_arrow, stored
 from .textkit import _IS_WS, counts_by, cover, cut, flat, hash_spans, mapper, mix, windows, words
 
 MIN_LANG, COMMON = 1 / 50, 1 / 1000
+ENOUGH = 10 / COMMON  # words of a language: a common word was seen ten times
 SYMBOLS = b"#*$%&|<>"
 CLASSES = ("lower", "upper", "digit", "blank", "point", "mark", "symbol", "wide")
 _CLASS = np.full(256, 6, np.uint8)
@@ -144,7 +145,7 @@ def references(docs: DataFrame) -> dict:
     sums = stored(sums, "references")
     totals = sums.filter("kind = 't'").select("lang", F.col("n").alias("total"))
     all_words = totals.agg(F.sum("total")).first()[0] or 0
-    large = totals.filter(F.col("total") >= max(1.0, MIN_LANG * all_words))  # at most 1/MIN_LANG languages
+    large = totals.filter(F.col("total") >= min(ENOUGH, max(1.0, MIN_LANG * all_words)))
     rows = sums.join(F.broadcast(large), "lang").filter((F.col("kind") == "c") | ((F.col("kind") == "w") & (F.col("n") >= COMMON * F.col("total"))))
     out: dict = {}
     for lang, kind, key, n, whole in rows.select("lang", "kind", "key", "n", "total").collect():
@@ -161,16 +162,22 @@ def references(docs: DataFrame) -> dict:
 
 
 class Reference:
-    """The references as arrays: classes (languages x classes), and shares (languages x words and the rest)."""
+    """The references as arrays: classes (languages x classes), and the shares of words and the rest that are not zero."""
 
     def __init__(self, refs: dict):
         self.langs = {k: i for i, k in enumerate(refs)}
         self.keys = np.unique(np.concatenate([r[1] for r in refs.values()])) if refs else np.zeros(0, np.uint64)
         self.chars = np.array([r[0] for r in refs.values()]).reshape(len(refs), len(CLASSES))
-        self.shares = np.zeros((len(refs), len(self.keys) + 1))
+        at, shares, n = [np.zeros(0, np.int64)], [np.zeros(0)], len(self.keys) + 1
         for i, (_, keys, share) in enumerate(refs.values()):
-            self.shares[i, np.searchsorted(self.keys, keys)] = share
-            self.shares[i, -1] = max(0.0, 1 - share.sum())
+            at += [i * n + np.searchsorted(self.keys, keys), [i * n + n - 1]]
+            shares += [share, [max(0.0, 1 - share.sum())]]
+        self.at, self.shares = np.concatenate(at).astype(np.int64), np.concatenate(shares)  # ascending places
+
+    def share(self, ref: np.ndarray, bin_: np.ndarray) -> np.ndarray:
+        wanted = ref * (len(self.keys) + 1) + bin_
+        found = np.minimum(np.searchsorted(self.at, wanted), len(self.at) - 1)
+        return np.where(self.at[found] == wanted, self.shares[found], 0.0)
 
     def distances(self, buf, off, spans, langs: list) -> tuple[np.ndarray, np.ndarray]:
         """Jensen-Shannon distances (base 2, 0 to 1) by characters and by words; NaN without a reference or content."""
@@ -195,7 +202,7 @@ class Reference:
             q = self.chars[ref]
             c = _terms(p, q).sum(axis=1)
             on = rows[doc]
-            qs = self.shares[ref[doc[on]], bin_[on]]
+            qs = self.share(ref[doc[on]], bin_[on])
             w = np.bincount(doc[on], _terms(share[on], qs), n) + 0.5 * (1 - np.bincount(doc[on], qs, n))
             return c, w
 
@@ -204,13 +211,15 @@ class Reference:
         if known.any():
             a, b = against(np.maximum(own, 0), known)
             c[known], w[known] = a[known], b[known]
-        if not known.all():
+        unnamed = np.array([x is None for x in langs], bool)
+        if unnamed.any():
             for k in range(n_ref):
-                a, b = against(np.full(n, k), ~known)
-                c[~known], w[~known] = np.minimum(c, a)[~known], np.minimum(w, b)[~known]
+                a, b = against(np.full(n, k), unnamed)
+                c[unnamed], w[unnamed] = np.minimum(c, a)[unnamed], np.minimum(w, b)[unnamed]
         c, w = np.sqrt(np.clip(c, 0, 1)), np.sqrt(np.clip(w, 0, 1))
         c[table.sum(axis=1) == 0] = np.nan
         w[n_words == 0] = np.nan
+        c[~known & ~unnamed] = w[~known & ~unnamed] = np.nan
         return c, w
 
 

@@ -36,6 +36,20 @@ def test_rules_keep_clean_prose_and_drop_noise(spark, docs):
     assert sum(out[i]["kept"] for i in fine) >= 0.95 * len(fine)
 
 
+def test_rules_of_rare_languages(spark, docs):
+    import random
+
+    r = random.Random(2)
+    rare = [(9100 + i, " ".join("".join(r.choice("αβγδεζηθικλμ") for _ in range(5)) for _ in range(100)), "el") for i in range(2)]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(rare, "doc_id long, text string, lang string"))
+    out = {x["doc_id"]: x for x in quality_rules.quality_rules(df).collect()}
+    assert all(out[i]["kept"] and out[i]["char_distance"] is None and out[i]["word_distance"] is None for i, _, _ in rare)
+    many = spark.range(700).selectExpr("id as doc_id", "repeat('some common words ', 350) as text", "'en' as lang")
+    some = spark.range(10).selectExpr("id as doc_id", "repeat('λίγα άλλα λόγια ', 350) as text", "'el' as lang")
+    few = spark.range(1).selectExpr("id as doc_id", "repeat('muutama sana ', 350) as text", "'fi' as lang")
+    assert set(quality_rules.references(many.unionByName(some).unionByName(few))) == {"en", "el"}
+
+
 def test_distance_is_jensen_shannon():
     p, q = np.array([0.5, 0.5, 0.0]), np.array([0.25, 0.25, 0.5])
     m = (p + q) / 2
