@@ -133,7 +133,8 @@ class Engine:
         df = df.orderBy(*order)
         if body.get("from"):
             df = df.offset(int(body["from"]))
-        df = df.limit(int(body.get("size", 10)))
+        if body.get("size", 10) is not None:  # null: all hits
+            df = df.limit(int(body.get("size", 10)))
         df = df.drop(*(f"_sort{i}" for i in range(len(keys))), "_second", "_second_on")
         return df.select(*self._source(df, body)) if "_source" in body else df
 

@@ -68,10 +68,14 @@ register("search_after_page", "orders", hits("orders", {"sort": [{"o_orderstatus
 register("collapse_best", "orders", hits("orders", {"sort": [{"o_totalprice": "desc"}], "collapse": {"field": "o_orderpriority"}, "size": 10}, "o_orderpriority", "o_orderkey"), "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 register("script_sort", "orders", hits("orders", {"sort": [{"_script": {"script": "doc['o_totalprice'].value % 1000", "order": "desc"}}], "size": 10}, "o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_totalprice % 1000 DESC, o_orderkey LIMIT 10")
 register("post_filter", "orders", hits("orders", {"query": {"range": {"o_totalprice": {"gt": 2000}}}, "post_filter": {"term": {"o_orderstatus": "P"}}, "sort": ["o_orderkey"], "size": 50}, "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 50")
+register("post_filter_whole", "orders", hits("orders", {"query": {"range": {"o_totalprice": {"gt": 2000}}}, "post_filter": {"term": {"o_orderstatus": "P"}}, "sort": ["o_orderkey"], "size": None}, "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderstatus = 'P' ORDER BY o_orderkey")
 register("script_fields", "orders", lambda e: rounded(e.search("orders", {"sort": ["o_orderkey"], "size": 20, "script_fields": {"half": {"script": "doc['o_totalprice'].value / 2"}}}).select("o_orderkey", "half")), "SELECT o_orderkey, round(o_totalprice / 2, 4) AS half FROM orders ORDER BY o_orderkey LIMIT 20")
+register("script_fields_whole", "orders", lambda e: rounded(e.search("orders", {"sort": ["o_orderkey"], "size": None, "script_fields": {"half": {"script": "doc['o_totalprice'].value / 2"}}}).select("o_orderkey", "half")), "SELECT o_orderkey, round(o_totalprice / 2, 4) AS half FROM orders ORDER BY o_orderkey")
 register("source_filter", "orders", lambda e: e.search("orders", {"sort": ["o_orderkey"], "size": 20, "_source": {"includes": ["o_*"], "excludes": ["*date", "*priority"]}}).drop("_score"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
+register("source_filter_whole", "orders", lambda e: e.search("orders", {"sort": ["o_orderkey"], "size": None, "_source": {"includes": ["o_*"], "excludes": ["*date", "*priority"]}}).drop("_score"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey")
 register("slice_partition", "orders", hits("orders", {"slice": {"id": 1, "max": 4}, "sort": ["o_orderkey"], "size": 100}, "o_orderkey"))
 register("named_queries", "orders", lambda e: e.search("orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "F", "_name": "done"}}}, {"range": {"o_totalprice": {"gt": 100000, "_name": "big"}}}]}}, "sort": ["o_orderkey"], "size": 30}).select("o_orderkey", F.array_join("matched_queries", ",").alias("names")), "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_totalprice > 100000 THEN 'big' END], lambda x: x IS NOT NULL), ',') AS names FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000 ORDER BY o_orderkey LIMIT 30")
+register("named_queries_whole", "orders", lambda e: e.search("orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "F", "_name": "done"}}}, {"range": {"o_totalprice": {"gt": 100000, "_name": "big"}}}]}}, "sort": ["o_orderkey"], "size": None}).select("o_orderkey", F.array_join("matched_queries", ",").alias("names")), "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_totalprice > 100000 THEN 'big' END], lambda x: x IS NOT NULL), ',') AS names FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000 ORDER BY o_orderkey")
 
 
 def scored(name, index, query, sql, key, size=20, **body):
@@ -209,11 +213,15 @@ sql("sql_default_limit", "region", "SELECT r_regionkey, r_name FROM region")
 sql("sql_limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 sql("sql_distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 sql("sql_case", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey LIMIT 100")
+sql("sql_case_whole", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey LIMIT ALL", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey")
 sql("sql_between_in_like", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey LIMIT 1000")
+sql("sql_between_in_like_whole", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey LIMIT ALL", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey")
 sql("sql_functions", "customer", "SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT 100", "SELECT c_custkey, upper(c_name) AS u, length(c_name)::INT AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT 100")
+sql("sql_functions_whole", "customer", "SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT ALL", "SELECT c_custkey, upper(c_name) AS u, length(c_name)::INT AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey")
 sql("sql_date_parts", "orders", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2", "SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*) AS n FROM orders GROUP BY 1, 2")
 sql("sql_aggregates", "lineitem", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS d, round(var_pop(l_quantity), 4) AS v, round(stddev_samp(l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag")
 sql("sql_full_text", "part", "SELECT p_partkey FROM part WHERE match(p_name, 'red') AND p_size > 5 LIMIT 100000", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND p_size > 5")
+sql("sql_full_text_whole", "part", "SELECT p_partkey FROM part WHERE match(p_name, 'red') AND p_size > 5 LIMIT ALL", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND p_size > 5")
 sql("ext_inner_join", "orders customer", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 sql("ext_left_join", "customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
 sql("ext_union", "customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier")
@@ -222,6 +230,7 @@ sql("ext_except", "nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT
 sql("ext_rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("ext_cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 sql("ext_row_number", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1 LIMIT 1000000")
+sql("ext_row_number_whole", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1 LIMIT ALL", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1")
 
 
 def ppl(name, table_, text, oracle):
@@ -235,6 +244,7 @@ ppl("ppl_top", "orders", "source=orders | top 3 o_orderpriority", "SELECT o_orde
 ppl("ppl_rare", "orders", "source=orders | rare 2 o_orderstatus", "SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*), 1 LIMIT 2")
 ppl("ppl_dedup", "lineitem", "source=lineitem | dedup l_returnflag, l_linestatus", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
 ppl("ppl_fields_rename", "orders", "source=orders o_orderstatus = 'P' | fields o_orderkey, o_totalprice | rename o_totalprice as price | sort o_orderkey | head 30", "SELECT o_orderkey, round(o_totalprice, 4) AS price FROM orders WHERE o_orderstatus = 'P' ORDER BY 1 LIMIT 30")
+ppl("ppl_fields_rename_whole", "orders", "source=orders o_orderstatus = 'P' | fields o_orderkey, o_totalprice | rename o_totalprice as price | sort o_orderkey", "SELECT o_orderkey, round(o_totalprice, 4) AS price FROM orders WHERE o_orderstatus = 'P' ORDER BY 1")
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------
 
