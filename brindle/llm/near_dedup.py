@@ -12,11 +12,14 @@
 3. Candidates pass two bounds first, which no pair of the asked similarity can fail: the ratio of sizes, and the number
    of bits in which their odd sketches (each bit the parity of the elements that hash to it) differ, which is never
    more than the number of elements that only one of the sets has.
-4. Verification on full sets, in rounds.  First every member of a bucket is held against the bucket's leader, the
-   member of the highest total bucket size, which is the centre of a group of near copies.  Links are merged by
-   union-find.  In buckets whose members still have several components, the members outside the largest one are then
-   held against all members of other components, more in each round, until all have been.  Pairs inside one component
-   need no check, so groups of copies never expand into all pairs, and no bucket is capped.
+4. Verification on full sets (compared by their 64-bit shingle hashes), in rounds.  First every member of a bucket is
+   held against the bucket's leader, the member of the highest total bucket size, which is the centre of a group of near
+   copies.  Links are merged by union-find.  In buckets whose members still have several components, the members outside
+   the largest one are then held against all members of other components, more in each round, until all have been.  A
+   pair arises only in the least of the buckets that its two members share.  Pairs inside one component need no check,
+   so groups of copies never expand into all pairs, and no bucket is capped.
+5. The pairs of one text are dealt out under salts, as many as they need, and its text goes once to each salt, ahead of
+   the texts to hold against it.
 
 Defined results: null, empty and blank texts have no shingles and are linked with nothing; a text with fewer words than
 a shingle is one element; equal sets are linked; rows that share an id are one node with the links of each; a null id
@@ -29,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .exact_dedup import groups
@@ -41,7 +44,8 @@ PLACES, BANDS, ROWS = 421, 60, 7  # a pair of similarity 0.8 shares none of the
 SHORT = 50  # sets of up to so many shingles find their pairs by prefixes, without a miss
 SKETCH_WORDS = 16  # of 64 bits; a power of two
 FRACTION_BITS = 23
-AT_ONCE = 16  # members of a bucket that the first round holds against all others
+AT_ONCE = 64  # members of a bucket, about, that the first round holds against all others
+PER_SALT = 256  # pairs of one text, about, in one group of its salts
 FEW_IDS = 1_000_000  # up to so many ids are broadcast to filter texts before they are shuffled
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -168,44 +172,47 @@ def _alike(o: NearOptions):
     return sizes & ((100 + o.percent) * differ <= (100 - o.percent) * (F.col("n_a") + F.col("n_b")))
 
 
-def _named(sketch: DataFrame, side: str) -> list:
+def _named(side: str) -> list:
     return [F.col("n_shingles").alias(f"n_{side}"), *(F.col(f"s{k}").alias(f"{side}{k}") for k in range(SKETCH_WORDS))]
 
 
 def _verified(pairs: DataFrame, rows: DataFrame, o: NearOptions) -> DataFrame:
-    """The pairs (a, b) whose full sets are alike enough."""
+    """The pairs (a, b) whose full sets are alike enough; a text that many pairs share is best `a`."""
 
     def run(batches):
-        last = np.zeros(0, U64)
+        own, left = None, []
         for batch in batches:
-            for piece in _pair_slices(batch):
-                a, b = piece.column(0).to_pylist(), piece.column(2).to_pylist()
-                fresh = [i for i, x in enumerate(a) if i == 0 or x != a[i - 1] or piece.column(1)[i] != piece.column(1)[i - 1]]
-                left = dict(zip(fresh, shingle_sets(piece.column(1).take(pa.array(fresh)), o.shingle), strict=True))
-                right = shingle_sets(piece.column(3), o.shingle)
-                keep = []
-                for i in range(len(a)):
-                    now = left.get(i)
-                    last = now if now is not None else last
-                    common = np.isin(right[i], last, assume_unique=True, kind="sort").sum()
-                    keep.append(bool(len(last) and 100 * common >= o.percent * (len(last) + len(right[i]) - common)))
-                on = np.flatnonzero(keep)
-                if len(on):
-                    yield pa.RecordBatch.from_pydict({"a": [a[i] for i in on], "b": [b[i] for i in on]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+            for piece in cut(batch):
+                sets, out = shingle_sets(piece.column(3), o.shingle), []
+                for a, salt, b, s in zip(*(piece.column(k).to_pylist() for k in range(3)), sets, strict=True):
+                    if b is None:  # a's own text; an id may have several rows
+                        left = [*left, s] if own == (a, salt) else [s]
+                        own = (a, salt)
+                    elif own == (a, salt) and any(_enough(x, s, o.percent) for x in left):
+                        out.append((a, b))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b"])
 
     ids = stored(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
-    few = ids.count() <= FEW_IDS
-    texts = rows.join(F.broadcast(ids), "doc_id", "left_semi") if few else rows
-    both = (
-        pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-        .join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    )
-    return both.select("a", "text_a", "b", "text_b").mapInArrow(run, "a long, b long")
-
-
-def _pair_slices(batch: pa.RecordBatch, limit: int = 2 << 20):
-    for piece in cut(batch, "text_a", limit):
-        yield from cut(piece, "text_b", limit)
+    texts = rows.join(F.broadcast(ids), "doc_id", "left_semi") if ids.count() <= FEW_IDS else rows
+    hot = stored(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PER_SALT), "hot")
+    salts = F.coalesce(F.ceil(F.col("n") / PER_SALT), F.lit(1))
+    small = F.broadcast(hot) if hot.count() <= FEW_IDS else hot
+    salted = pairs.join(small, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), salts).cast("int").alias("salt"))
+    left = salted.select("a", "salt").distinct().join(texts.select(F.col("doc_id").alias("a"), "text"), "a")
+    right = salted.join(texts.select(F.col("doc_id").alias("b"), "text"), "b")
+    both = left.select("a", "salt", F.lit(None).cast("long").alias("b"), "text").unionByName(right.select("a", "salt", "b", "text"))
+    both = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
+def _enough(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Two sorted sets have the asked similarity."""
+    small, large = (x, y) if len(x) <= len(y) else (y, x)
+    if not len(small) or 100 * len(small) < percent * len(large):
+        return False
+    common = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
 
 
 def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,39 +231,38 @@ def near_groups(docs: DataFrame, options: NearOptions = NearOptions(), id_col: s
     bands = reps.select("rep", F.explode("bands").alias("band")).unionByName(stored(_prefixes(reps, o), "prefixes"))
     shared = bands.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "size")
     buckets = stored(bands.join(shared, "band").select("band", "rep", "size"), "buckets")
-    degree = buckets.groupBy("rep").agg(F.sum("size").alias("degree"))
-    leader = buckets.join(degree, "rep").groupBy("band").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("a"))
-    pairs = buckets.select("band", F.col("rep").alias("b")).join(leader, "band").filter(F.col("a") != F.col("b"))
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = pairs.join(reps.select(F.col("rep").alias("a"), *_named(reps, "a")), "a").join(reps.select(F.col("rep").alias("b"), *_named(reps, "b")), "b")
-    checked = stored(pairs.filter(_alike(o)).select("a", "b"), "pairs")
-    links = stored(_verified(checked, rows, o).unionByName(one_id), "links")
+    nodes = buckets.groupBy("rep").agg(F.sum("size").alias("degree"), F.collect_list("band").alias("keys"))
+    nodes = stored(nodes.join(reps.select("rep", "n_shingles", *(f"s{k}" for k in range(SKETCH_WORDS))), "rep"), "nodes")
+    leader = buckets.join(nodes.select("rep", "degree"), "rep").groupBy("band").agg(F.max(F.struct("degree", -F.col("rep"))).alias("top")).select("band", (-F.col("top.col2")).alias("a"))
+    # a leader has the higher degree in all buckets of a pair, so that no pair comes both ways
+    pairs = buckets.select("band", F.col("rep").alias("b")).join(leader, "band").filter(F.col("a") != F.col("b")).select("a", "b").distinct()
+    pairs = pairs.join(nodes.select(F.col("rep").alias("a"), *_named("a")), "a").join(nodes.select(F.col("rep").alias("b"), *_named("b")), "b")
+    links = stored(_verified(stored(pairs.filter(_alike(o)).select("a", "b"), "pairs"), rows, o).unionByName(one_id), "links")
     labels = components(links)
     # buckets with several components: members outside the largest are held against all members of other components
-    bits = [f"s{k}" for k in range(SKETCH_WORDS)]
     open_, at_once = buckets.filter("size > 2").select("band", "rep", F.lit(False).alias("done")), AT_ONCE
     while True:
         now = open_.select("band", "rep", "done").join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-        several = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("band").agg(F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("labels"))
-        now = now.join(several.filter("labels > 1").select("band", F.col("top.label").alias("major")), "band")
+        several = now.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("done")).alias("todo")).groupBy("band")
+        several = several.agg(F.max(F.struct("n", "label", "todo")).alias("top"), F.count(F.lit(1)).alias("labels"), F.sum("todo").alias("todo"))
+        several = several.filter("labels > 1").select("band", F.col("top.label").alias("major"), (F.col("todo") - F.col("top.todo")).alias("left"))
         waiting = (F.col("label") != F.col("major")) & ~F.col("done")
-        turn = F.row_number().over(Window.partitionBy("band").orderBy(F.when(waiting, 0).otherwise(1), "rep"))
-        now = now.withColumn("pivot", waiting & (turn <= at_once)).drop("major")
-        now = stored(now.join(reps.select("rep", "n_shingles", *bits), "rep"), "open")
-        pivots = now.filter("pivot").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), *_named(now, "a"))
-        others = now.select("band", F.col("rep").alias("b"), "label", "done", *_named(now, "b"))
-        pairs = pivots.join(others, "band").filter((F.col("label") != F.col("label_a")) & ~F.col("done") & _alike(o))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(checked, ["a", "b"], "left_anti")
-        new = stored(pairs, "pairs")
-        open_, at_once = now.withColumn("done", F.col("done") | F.col("pivot")), 8 * at_once
+        turn = F.pmod(F.xxhash64("rep", F.lit(at_once)), F.greatest("left", F.lit(1))) < at_once
+        now = stored(now.join(several.filter("left > 0"), "band").select("band", "rep", "label", "done", (waiting & turn).alias("pivot")), "open")
+        if now.isEmpty():
+            break
+        full = now.join(nodes, "rep")
+        pivots = full.filter("pivot").select("band", F.col("rep").alias("a"), F.col("label").alias("label_a"), F.col("keys").alias("keys_a"), *_named("a"))
+        others = full.filter("NOT done").select("band", F.col("rep").alias("b"), "label", "pivot", "keys", *_named("b"))
+        once = (F.array_min(F.array_intersect("keys_a", "keys")) == F.col("band")) & ~(F.col("pivot") & (F.col("b") < F.col("a")))
+        pairs = pivots.join(others, "band").filter((F.col("label") != F.col("label_a")) & _alike(o) & once)
+        new = stored(pairs.select("a", "b"), "pairs")
+        open_, at_once = now.withColumn("done", F.col("done") | F.col("pivot")), 16 * at_once
         if not new.isEmpty():
-            checked = stored(checked.unionByName(new), "checked")
             found = stored(_verified(new, rows, o), "links")
             if not found.isEmpty():
                 links = stored(links.unionByName(found), "links")
                 labels = components(links)
-        elif now.filter("pivot").isEmpty():
-            break
     named = classes.select("doc_id", "n_shingles", "rep").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
     done = named.select("doc_id", "n_shingles", F.coalesce("label", "rep").alias("component_id"))
     rest = sketch.filter("n_shingles = 0 OR doc_id IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))

@@ -16,8 +16,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_arrow(spark: SparkSession, limit: int = 16 << 20) -> None:
-    """Arrow batches sent to Python stay under `limit` bytes however long the texts are."""
+def bounded_arrow(spark: SparkSession, limit: int = 4 << 20) -> None:
+    """Arrow batches sent to Python stay about `limit` bytes however long the texts are.
+
+    Spark reads this setting when a plan runs, so it stays set in the session."""
     spark.conf.set(_ARROW_BYTES, str(limit))
 
 

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2 << 20  # numpy temporaries are about 60 times this
+SLICE_BYTES = 1 << 20  # numpy temporaries are about 60 times this
 U64 = np.uint64
 _IS_WS = np.zeros(256, bool)
 _IS_WS[[0x20, 9, 10, 11, 12, 13]] = True
@@ -39,6 +39,7 @@ def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def cut(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about `limit` text bytes each; one longer text gets its own slice."""
+    pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pool keeps what it once held
     if not batch.num_rows:
         return
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 16
