@@ -8,6 +8,8 @@ fraction's words are reached, the last one in part.  The place where it ends is
 (256 bins, 256 bins inside one of them, then the few documents inside one of those), so no task holds a source, however
 hot, and the mix meets its targets to the word.
 
+Repeated rows of one id take what the most taken of them takes in `mixed`; rows without an id are told apart by text.
+
 Defined results: null and empty texts have no words and nothing is taken; a null source is a source of its own, last
 in the order; a source without words has target 0; repeated rows count as documents; an empty table gives an empty
 result; other columns are not read.
@@ -63,15 +65,25 @@ def _boundary(bins: DataFrame, bin_col: str, need: str) -> DataFrame:
     return hit.select("skey", F.col(bin_col).alias(f"{bin_col}_at"), (F.col(need) - (F.col("cum") - F.col("size"))).alias(f"{need}_in"))
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+def _row_key(doc_id, text):
+    """The id, or for a null id a hash of the text, so that rows without an id do not meet in one place."""
+    return F.coalesce(doc_id.cast("long"), F.xxhash64(text.cast("string")))
+
+
+def mix(docs: DataFrame, **options) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row."""
+    return plan(docs, **options).drop("row_key")
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """doc_id, size, source_size, target, taken and row_key of every row."""
     source = F.col(source_col).cast("string")
     rows = word_sizes(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source)).alias("skey"),  # nulls last
-        F.col(text_col).alias("text"),
+        F.col(text_col).alias("text"), _row_key(F.col(id_col), F.col(text_col)).alias("row_key"),
     ))
-    u = F.xxhash64(F.lit(seed), "doc_id")
+    u = F.xxhash64(F.lit(seed), "row_key")
     rows = rows.withColumns({"u": u, "coarse": F.shiftrightunsigned(u, 56).cast("int"), "fine": F.shiftrightunsigned(u, 48).cast("int").bitwiseAND(255)})
     rows = stored(rows, "sizes")
     sources = numbered(rows.groupBy("skey").agg(F.sum("size").alias("source_size")), [F.col("skey")], "rank")
@@ -94,7 +106,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     # a null coarse_at: all words of the source, or none, make up the fraction
     all_rows = rows.join(few(facts), "skey")
     at_end = (F.col("coarse") == F.col("coarse_at")) & (F.col("fine") == F.col("fine_at"))
-    order = Window.partitionBy("skey").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("skey").orderBy("u", "row_key", "size").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum("size").over(order), F.lit(0))
     last = all_rows.filter(at_end).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), F.col("need_in_in") - before)))
     took = F.when(F.col("coarse_at").isNull(), F.col("need") > 0).otherwise(
@@ -102,14 +114,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = M
     )
     rest = all_rows.filter(~F.coalesce(at_end, F.lit(False))).withColumn("extra", F.when(took, F.col("size")).otherwise(0))
     return last.unionByName(rest).select(
-        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), "row_key"
     )
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with their own columns: each as often as whole repetitions fall to it; a document that
     the mix takes in part counts if it is at least half taken.  Documents without words are left out."""
-    plan = mix(docs, **options).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.round(F.col("taken") / F.col("size")).cast("int").alias("_times"))
-    plan = plan.groupBy("_id").agg(F.max("_times").alias("_times")).filter("_times > 0")
-    rows = docs.join(plan, docs["doc_id"] == plan["_id"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(docs[c] for c in docs.columns))
+    taken = plan(docs, **options).filter("taken > 0").groupBy("row_key").agg(F.max(F.round(F.col("taken") / F.col("size")).cast("int")).alias("times"))
+    # the documents go as one struct, so that no name of theirs can clash
+    id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
+    rows = docs.select(_row_key(docs[id_col], docs[text_col]).alias("row_key"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    rows = rows.join(taken.filter("times > 0"), "row_key").select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return rows.select(*(F.col("row")[c].alias(c) for c in docs.columns))

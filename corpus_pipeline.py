@@ -3,6 +3,12 @@
 The classifier rejects documents below its threshold, exact and near copies leave one document each (five-word
 shingles, similarity 0.8), the mix repeats or drops documents to meet the sources' target weights, and the last stage
 encodes what is left.  All stages but the last return the columns of `documents`.
+
+Defined results: null and empty texts go through the classifier like others; of those it accepts, exact dedup leaves one
+empty one, and the mix, which counts words, leaves out every document without a word.  Rows without an id are never
+named by another row: they stay in both dedup stages and are mixed by their text.  Rows that repeat an id stay or go
+together.  Ties go to the smaller id.  Very long texts are read whole.  Columns beside the contract's pass through, whatever
+their names, but for the last stage.  An empty table gives an empty result in every stage.
 """
 
 from __future__ import annotations

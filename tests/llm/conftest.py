@@ -14,8 +14,8 @@ SCHEMA = "doc_id long, text string, lang string, source string"
 @pytest.fixture(scope="session")
 def odd(spark):
     """Awkward rows, with extra columns whose names clash with those the operators use."""
-    extra = ", ".join(f"{n} int" for n in ("size", "key", "band", "rep", "label", "score", "taken", "shard", "print", "_id", "_drop_id", "skey", "n"))
-    rows = [(*r, *[i] * 13) for i, r in enumerate(ODD)]
+    extra = ", ".join(f"{n} int" for n in ("size", "key", "band", "rep", "label", "score", "taken", "shard", "print", "_id", "_drop_id", "skey", "n", "_times", "_copy", "row", "times", "row_key"))
+    rows = [(*r, *[i] * 18) for i, r in enumerate(ODD)]
     return spark.createDataFrame(rows, f"{SCHEMA}, n_chars long, {extra}".replace("n_chars long, ", ""))
 
 

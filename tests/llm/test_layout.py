@@ -44,6 +44,16 @@ def test_mix_odd(odd, empty):
     assert mixed(odd).columns == odd.columns
 
 
+def test_mixed_keeps_rows_without_an_id(spark):
+    """Rows of null id get the repetitions planned for each, told apart by their text."""
+    rows = [(None, f"w{k} x y", "a") for k in range(40)] + [(1, "only one of the second source", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sum(round(r["taken"] / r["size"]) for r in mix(df).collect())
+    got = mixed(df)
+    assert got.columns == df.columns and got.count() == want > 20
+    assert 1 < got.filter("doc_id IS NULL").select("text").distinct().count() <= 40
+
+
 def test_mixed_repeats_documents(docs):
     plan = {r["doc_id"]: r for r in mix(docs).collect()}
     times = defaultdict(int)
