@@ -202,10 +202,16 @@ class Engine:
 
     def aggregate(self, name: str, body: dict[str, Any]) -> DataFrame:
         """The flat table of the request's one aggregation tree: bucket keys, doc_count, metrics."""
+        return self._aggs(name, body).table(body.get("aggs") or body["aggregations"])
+
+    def aggregate_tables(self, name: str, body: dict[str, Any]) -> dict[str, DataFrame]:
+        """Any aggregation tree: a flat table for each of its bucket aggregations and sibling pipelines, by path."""
+        return self._aggs(name, body).tables(body.get("aggs") or body["aggregations"])
+
+    def _aggs(self, name: str, body: dict[str, Any]) -> aggs.AggCompiler:
         ix = self.index(name)
         c = self.compiler(ix, scoring=False)
-        pred = c.compile(body.get("query")).pred
-        return aggs.AggCompiler(c, c.df.filter(pred), ix).table(body.get("aggs") or body["aggregations"])
+        return aggs.AggCompiler(c, c.df.filter(c.compile(body.get("query")).pred), ix)
 
     # -- SQL and PPL --------------------------------------------------------------------------------------------------
 

@@ -1,12 +1,15 @@
-"""Aggregation trees compiled to one groupBy: every level of buckets is a set of grouping columns.
+"""Aggregation trees compiled to groupBys: every level of buckets is a set of grouping columns.
 
-The result is flat: one row for each bucket of the deepest level, with the keys of all levels, doc_count and metrics.
+The result of a chain of levels is flat: one row for each bucket of the deepest level, with the keys of all levels,
+doc_count, its metrics, and those of the levels above repeated.  A level above is grouped on its own only if it has
+metrics, an order or a size.  A tree with sibling buckets gives one such table for each of its bucket aggregations.
 Overlapping buckets (ranges, filters, several values of a field) come from one explode before the groupBy."""
 
 from __future__ import annotations
 
 import functools
 import operator
+from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -14,8 +17,12 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans import dates
+from . import pipeline
 
 METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "percentiles", "percentile_ranks", "median_absolute_deviation", "cardinality", "weighted_avg", "matrix_stats", "geo_bounds", "geo_centroid", "top_hits", "scripted_metric"}
+PIPES = {"cumulative_sum", "derivative", "serial_diff", "moving_fn", "moving_avg", "bucket_script", "bucket_selector", "bucket_sort"}
+SIBLINGS = {"avg_bucket", "sum_bucket", "min_bucket", "max_bucket", "stats_bucket", "extended_stats_bucket", "percentiles_bucket"}
+MAX_BUCKETS = 65_535  # of one histogram, empty ones included; more is an error
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 
@@ -28,6 +35,32 @@ def mean_bounds(c: Column, sigma: float) -> dict[str, Column]:
     return {"upper": mean + sigma * sd, "lower": mean - sigma * sd}
 
 
+def kind_of(a: dict) -> str:
+    return next(k for k in a if k not in ("aggs", "aggregations", "meta"))
+
+
+@dataclass
+class Level:
+    name: str
+    kind: str
+    spec: dict
+    below: dict[str, dict]
+
+    def of(self, kinds: set[str]) -> dict[str, dict]:
+        return {n: a for n, a in self.below.items() if kind_of(a) in kinds}
+
+
+def _levels(tree: dict[str, dict]) -> dict[str, Level]:
+    return {n: Level(n, kind_of(a), a[kind_of(a)], a.get("aggs") or a.get("aggregations") or {}) for n, a in tree.items() if kind_of(a) not in METRICS | PIPES | SIBLINGS}
+
+
+def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = functools.reduce(operator.and_, (F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys))
+    return left.join(right, on, how).drop(*(f"__r_{k}" for k in keys))
+
+
 class AggCompiler:
     def __init__(self, compiler, df: DataFrame, index):
         self.c, self.df, self.index = compiler, df, index
@@ -50,10 +83,20 @@ class AggCompiler:
             fields = s.get("_source") or self.c.df.columns
             keys = [(next(iter(k.items())) if isinstance(k, dict) else (k, "asc")) for k in s.get("sort", [])]
             n = int(s.get("size", 3))
-            signed = [-self.c.col(k) if (o if isinstance(o, str) else o.get("order", "asc")) == "desc" else self.c.col(k) for k, o in keys]
-            hit = F.struct(*(v.alias(f"k{i}") for i, v in enumerate(signed)), *(F.col(f).alias(f) for f in fields))
-            best = F.slice(F.array_sort(F.collect_list(hit)), 1 + int(s.get("from", 0)), n) if n > 1 else F.array(F.min(hit))
-            return {name: F.transform(best, lambda h: F.struct(*(h[f].alias(f) for f in fields)))}
+            cols = [self.c.col(k) for k, _ in keys]
+            down = [(o if isinstance(o, str) else o.get("order", "asc")) == "desc" for _, o in keys]
+            hit = F.struct(*(v.alias(f"k{i}") for i, v in enumerate(cols)), F.struct(*(F.col(f).alias(f) for f in fields)).alias("hit"))
+
+            def compare(a: Column, b: Column) -> Column:
+                out = F.lit(0)
+                for i in reversed(range(len(keys))):  # nulls last
+                    x, y, sign = a[f"k{i}"], b[f"k{i}"], -1 if down[i] else 1
+                    both = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1)
+                    out = both.when(x < y, -sign).when(x > y, sign).otherwise(out)
+                return out
+
+            best = F.slice(F.array_sort(F.collect_list(hit), compare), 1 + int(s.get("from", 0)), n)
+            return {name: F.transform(best, lambda h: h["hit"])}
         v = self.value(s)
         if kind == "geo_bounds":
             return {f"{name}_{k}": f(v[x]) for k, f, x in (("top", F.max, "lat"), ("bottom", F.min, "lat"), ("left", F.min, "lon"), ("right", F.max, "lon"))}
@@ -202,37 +245,133 @@ class AggCompiler:
     # -- the tree -----------------------------------------------------------------------------------------------------
 
     def table(self, tree: dict[str, dict]) -> DataFrame:
-        """A chain of bucket levels with metrics at the deepest; sibling pipelines are in operators.pipeline."""
-        df, keys, levels, metrics = self.df, [], [], {}
-        while tree:
-            buckets = {n: a for n, a in tree.items() if not METRICS & set(a)}
-            if len(buckets) > 1:
-                raise ValueError(f"one bucket aggregation to a level makes a flat table; ask for {sorted(buckets)} one by one")
-            metrics = {n: a for n, a in tree.items() if METRICS & set(a)} if not buckets else metrics
-            if not buckets:
-                break
-            (name, spec), = buckets.items()
-            kind = next(k for k in spec if k not in ("aggs", "aggregations", "meta"))
-            df, own = self.bucket(df, name, kind, spec[kind])
-            levels.append((name, kind, spec[kind], own))
-            keys += own
-            below = spec.get("aggs") or spec.get("aggregations") or {}
-            metrics |= {n: a for n, a in below.items() if METRICS & set(a)} if not any(not METRICS & set(a) for a in below.values()) else {}
-            tree = {n: a for n, a in below.items() if not METRICS & set(a)}
+        """The flat table of a chain of bucket levels; metrics may stand at any level."""
+        chain, here = [], tree
+        while level := _levels(here):
+            if len(level) > 1 or any(kind_of(a) in SIBLINGS for a in here.values()):
+                raise ValueError(f"one bucket aggregation to a level makes a flat table; ask for tables() of {sorted(here)}")
+            chain += level.values()
+            here = chain[-1].below
+        return self.flat({n: a for n, a in tree.items() if kind_of(a) in METRICS}, chain)
+
+    def tables(self, tree: dict[str, dict]) -> dict[str, DataFrame]:
+        """Any tree: the table of each bucket aggregation by its path (names joined by >), of each sibling pipeline by
+        its own, and the metrics of the whole under an empty path."""
+        out: dict[str, DataFrame] = {}
+        top = {n: a for n, a in tree.items() if kind_of(a) in METRICS}
+        if top:
+            out[""] = self.flat(top, [])
+
+        def walk(here: dict[str, dict], chain: list[Level]) -> None:
+            for level in _levels(here).values():
+                out[">".join(x.name for x in [*chain, level])] = self.flat({}, [*chain, level])
+                walk(level.below, [*chain, level])
+            above = ">".join(x.name for x in chain)
+            for n, a in here.items():
+                if (kind := kind_of(a)) in SIBLINGS:
+                    *path, value = a[kind]["buckets_path"].split(">")
+                    t = out[">".join(filter(None, [above, *path]))]
+                    by = [c for x in chain for c in self.keys_of(x)]
+                    extra = {k: a[kind][k] for k in ("percents", "sigma") if k in a[kind]}
+                    out[">".join(filter(None, [above, n]))] = pipeline.sibling(t, kind, self.path(value), n, by=by or None, **extra)
+
+        walk(tree, [])
+        return out
+
+    def keys_of(self, level: Level) -> list[str]:
+        if level.kind == "multi_terms":
+            return [f"{level.name}_{i}" for i in range(len(level.spec["terms"]))]
+        return [next(iter(x)) for x in level.spec["sources"]] if level.kind == "composite" else [level.name]
+
+    @staticmethod
+    def path(text: str) -> str:
+        return "doc_count" if text == "_count" else text.split(">")[-1].replace(".", "_")
+
+    def flat(self, top: dict[str, dict], chain: list[Level]) -> DataFrame:
+        if not chain:
+            return self.grouped(self.df, [], top).drop("doc_count")
+        df, keys, out, uppers = self.df, [], None, []
+        for k, level in enumerate(chain):
+            df, own = self.bucket(df, level.name, level.kind, level.spec)
+            parents, keys = keys, [*keys, *own]
+            metrics, pipes = level.of(METRICS), level.of(PIPES)
+            deepest = k == len(chain) - 1
+            if not deepest and not (metrics or pipes or level.kind in ("terms", "multi_terms", "rare_terms", "composite") or level.spec.get("min_doc_count", 0) > 1):
+                continue
+            t = self.grouped(df, keys, metrics)
+            if level.kind in ("histogram", "date_histogram") and not level.spec.get("min_doc_count", 0):
+                t = self.fill(t, level, own[0], parents, metrics) if deepest else t
+            t = self.piped(self.cut(t, level.kind, level.spec, own, parents), pipes, own[0], parents)
+            if deepest:
+                out = t
+            else:
+                uppers.append((keys, t.drop("doc_count")))
+        for by, t in uppers:
+            if clash := sorted((set(t.columns) & set(out.columns)) - set(by)):
+                raise ValueError(f"names {clash} stand at several levels of one chain")
+            out = matched(out, t, by)
+        return out.join(F.broadcast(self.grouped(self.df, [], top).drop("doc_count"))) if top else out  # one row
+
+    def grouped(self, df: DataFrame, keys: list[str], metrics: dict[str, dict]) -> DataFrame:
         columns, deviations = {}, {}
         for n, a in metrics.items():
-            (kind, s), = ((k, v) for k, v in a.items() if k in METRICS)
+            kind = kind_of(a)
             if kind == "median_absolute_deviation":
-                deviations[n] = self.value(s)
+                deviations[n] = self.value(a[kind])
             else:
-                columns |= self.metric(n, kind, s)
+                columns |= self.metric(n, kind, a[kind])
         count = F.sum(F.coalesce(F.col("_doc_count"), F.lit(1))) if "_doc_count" in df.columns else F.count(F.lit(1))
         out = df.groupBy(*keys).agg(count.cast("long").alias("doc_count"), *(v.alias(n) for n, v in columns.items()))
         for n, v in deviations.items():
             out = self.deviation(df, keys, n, v, out)
-        for name, kind, s, own in levels:
-            out = self.cut(out, name, kind, s, own, keys, len(levels))
-        return out if keys else out.drop("doc_count")
+        return out
+
+    def piped(self, t: DataFrame, pipes: dict[str, dict], key: str, by: list[str]) -> DataFrame:
+        """Parent pipelines by their buckets_path, in the order of the request."""
+        for n, a in pipes.items():
+            kind, s = kind_of(a), a[kind_of(a)]
+            paths = s.get("buckets_path", {})
+            paths = {k: self.path(v) for k, v in paths.items()} if isinstance(paths, dict) else self.path(paths)
+            if kind == "bucket_script":
+                t = pipeline.bucket_script(t, n, paths, s["script"])
+            elif kind == "bucket_selector":
+                t = pipeline.bucket_selector(t, paths, s["script"])
+            elif kind == "bucket_sort":
+                order = [(next(iter(x.items())) if isinstance(x, dict) else (x, "asc")) for x in s.get("sort", [])]
+                order = [({"_key": key}.get(k, self.path(k)), v if isinstance(v, str) else v.get("order", "asc")) for k, v in order] or [(key, "asc")]
+                t = pipeline.bucket_sort(t, order, s.get("size"), s.get("from", 0), by or None)
+            elif kind == "moving_fn":
+                options = {k: s[k] for k in ("alpha", "beta", "gamma", "period") if k in s}
+                t = pipeline.moving_fn(t, key, paths, n, s["script"].split("MovingFunctions.")[-1].split("(")[0], s["window"], s.get("shift", 0), by, **options)
+            elif kind == "serial_diff":
+                t = pipeline.serial_diff(t, key, paths, n, s.get("lag", 1), by)
+            elif kind == "moving_avg":
+                t = pipeline.moving_avg(t, key, paths, n, s.get("window", 5), by)
+            else:
+                t = {"cumulative_sum": pipeline.cumulative_sum, "derivative": pipeline.derivative}[kind](t, key, paths, n, by)
+        return t
+
+    def fill(self, t: DataFrame, level: Level, key: str, parents: list[str], metrics: dict[str, dict]) -> DataFrame:
+        """Empty buckets between the least and the greatest of each parent, or the extended bounds."""
+        s, bounds = level.spec, level.spec.get("extended_bounds")
+        if level.kind == "histogram":
+            i, o = float(s["interval"]), float(s.get("offset", 0))
+            number = lambda c: F.round((c - o) / i).cast("long")
+            start, lit = (lambda n: n * i + o), (lambda x: F.floor((F.lit(float(x)) - o) / i) * i + o)
+        else:
+            number, start = _steps(s)
+            lit = lambda x: date_floor(F.lit(dates.evaluate(x)), s)
+        t = t.withColumn("__i", number(F.col(key)))
+        lo, hi = F.min("__i"), F.max("__i")
+        if bounds:
+            lo, hi = F.least(lo, number(lit(bounds["min"]))), F.greatest(hi, number(lit(bounds["max"])))
+        frame = t.groupBy(*parents).agg(lo.alias("__lo"), hi.alias("__hi"))
+        far = F.raise_error(F.lit(f"[{level.name}] has over {MAX_BUCKETS} buckets")).cast("long")
+        numbers = F.sequence(F.col("__lo"), F.when(F.col("__hi") - F.col("__lo") < MAX_BUCKETS, F.col("__hi")).otherwise(far))
+        every = frame.filter("__lo IS NOT NULL").select(*parents, F.explode(numbers).alias("__i"))
+        out = matched(every, t.drop(key), [*parents, "__i"], "left").withColumn(key, start(F.col("__i"))).drop("__i")
+        zero = ["doc_count", *(n for n, a in metrics.items() if kind_of(a) in ("sum", "value_count", "cardinality"))]
+        return out.fillna(0, zero).select(*(c for c in t.columns if c != "__i"))
 
     def deviation(self, df: DataFrame, keys: list[str], name: str, v: Column, out: DataFrame) -> DataFrame:
         """Median of distances to the median, in two passes."""
@@ -243,7 +382,7 @@ class AggCompiler:
         m = rows.groupBy(*keys).agg(F.percentile("__v", 0.5).alias("__m"))
         return out.join(rows.join(m, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name)), keys)
 
-    def cut(self, out: DataFrame, name: str, kind: str, s: dict, own: list[str], keys: list[str], levels: int) -> DataFrame:
+    def cut(self, out: DataFrame, kind: str, s: dict, own: list[str], parents: list[str]) -> DataFrame:
         """min_doc_count, order and size; inside a parent bucket by a window."""
         if kind == "rare_terms":
             return out.filter(F.col("doc_count") <= s.get("max_doc_count", 1))
@@ -273,15 +412,42 @@ class AggCompiler:
         order = order if isinstance(order, list) else [order]
         cols = [(F.col({"_count": "doc_count", "_key": own[0]}.get(k, k.replace(".", "_"))), v) for o in order for k, v in o.items()]
         sort = [c.desc() if v == "desc" else c.asc() for c, v in cols] + [F.col(k).asc() for k in own]
-        parents = keys[: keys.index(own[0])]
-        if levels == 1:
+        if not parents:
             return out.orderBy(*sort).limit(int(s.get("size", 10)))
-        if keys[-1] == own[-1]:
-            w = Window.partitionBy(*parents).orderBy(*sort) if parents else Window.orderBy(*sort)
-            return out.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= s.get("size", 10)).drop("__r")
-        totals = out.groupBy(*parents, *own).agg(F.sum("doc_count").alias("__n"))
-        best = totals.orderBy(F.desc("__n"), *own).limit(int(s.get("size", 10))) if not parents else totals
-        return out.join(F.broadcast(best.drop("__n")), [*parents, *own])  # at most `size` keys
+        w = Window.partitionBy(*parents).orderBy(*sort)
+        return out.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= int(s.get("size", 10))).drop("__r")
+
+
+def _steps(s: dict):
+    """Number of a date bucket from its start, and the start from its number."""
+    zone = s.get("time_zone", "UTC")
+    shift = int((dates.seconds(s["offset"].lstrip("+-")) * (-1 if s["offset"].startswith("-") else 1) if "offset" in s else 0) * 1e6)
+    unit = s.get("calendar_interval") or (s.get("interval") if s.get("interval") in dates.CALENDAR else None)
+    unit = dates.CALENDAR[unit] if unit else None
+    months = {"month": 1, "quarter": 3, "year": 12}.get(unit)
+    step = {"week": 604800, "day": 86400, "hour": 3600, "minute": 60, "second": 1}.get(unit) or (0 if months else dates.seconds(s.get("fixed_interval") or s["interval"]))
+    monday = 4 * 86_400_000_000 if unit == "week" else 0  # the epoch was a Thursday
+
+    def local(c: Column) -> Column:
+        t = F.from_utc_timestamp(c.cast("timestamp"), zone) if zone != "UTC" else c.cast("timestamp")
+        return F.timestamp_micros(F.unix_micros(t) - F.lit(shift))
+
+    def number(c: Column) -> Column:
+        t = local(c)
+        if months:
+            return F.floor((F.year(t) * 12 + F.month(t) - 1) / months).cast("long")
+        return F.floor((F.unix_micros(t) - F.lit(monday)) / F.lit(int(step * 1e6))).cast("long")
+
+    def start(n: Column) -> Column:
+        if months:
+            m = n * months
+            t = F.make_timestamp(F.floor(m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0))
+        else:
+            t = F.timestamp_micros(n * F.lit(int(step * 1e6)) + F.lit(monday))
+        t = F.timestamp_micros(F.unix_micros(t) + F.lit(shift))
+        return (F.to_utc_timestamp(t, zone) if zone != "UTC" else t).cast("timestamp_ntz")
+
+    return number, start
 
 
 def date_floor(v: Column, s: dict) -> Column:

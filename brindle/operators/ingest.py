@@ -66,34 +66,76 @@ def chunks(c: Column, limit: int, overlap: float = 0.0, most: int = -1) -> Colum
     return F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, F.when(i == starts[most - 1], F.size(tokens)).otherwise(limit) if most > 0 else F.lit(limit)), " "))
 
 
-def apply(df: DataFrame, processors: list[dict[str, Any]], compiler=None) -> DataFrame:
-    """Each processor in turn.  `if` is a script; rows for which it is not true keep their values."""
+def apply(df: DataFrame, processors: list[dict[str, Any]]) -> DataFrame:
+    """Each processor in turn.  `if` is a script; rows for which it is not true keep their values.
+
+    A row fails a processor if its field is null (without `ignore_missing`), or if a value cannot be converted, parsed
+    or matched.  With `ignore_failure` or `on_failure` such a row keeps its values, and the latter's processors run on
+    it; otherwise the result is null.  `fail` raises unless it is caught."""
     for p in processors:
         (kind, s), = p.items()
-        before = df
-        df = _one(df, kind, s)
-        if "if" in s:
-            from ..functions.script import Script
-
-            on = F.coalesce(Script(s["if"], F.col).column(), F.lit(False))
-            if kind in ("drop",):
-                df = before.filter(~on)
-                continue
-            changed = [c for c in df.columns if c not in before.columns]
-            touched = [c for c in (s.get("target_field"), s.get("field")) if isinstance(c, str) and c in before.columns]
-            after = {c: F.col(c) for c in changed}
-            values = {c: _value(before, kind, s, c) for c in touched}
-            df = before.withColumns({c: F.when(on, v).otherwise(F.col(c)) for c, v in values.items() if v is not None})
-            if after:
-                df = _one(before, kind, s).withColumns({c: F.when(on, F.col(c)) for c in changed})
+        df = _conditional(df, kind, s)
     return df
 
 
-def _value(df: DataFrame, kind: str, s: dict, column: str) -> Column | None:
-    f = s.get("field")
-    if isinstance(f, str) and s.get("target_field", f) == column and kind in _SIMPLE:
-        return _SIMPLE[kind](F.col(f), s)
-    return F.lit(s["value"]) if kind == "set" and f == column and "value" in s else None
+def _conditional(df: DataFrame, kind: str, s: dict) -> DataFrame:
+    on, caught = F.lit(True), "on_failure" in s or s.get("ignore_failure", False)
+    if "if" in s:
+        from ..functions.script import Script
+
+        on = F.coalesce(Script(s["if"], F.col).column(), F.lit(False))
+    if kind == "drop":
+        return df.filter(~on) if "if" in s else df.limit(0)
+    if kind == "fail":
+        if caught:
+            return where(df, on, lambda d: apply(d, s.get("on_failure", [])))
+        return df.filter(F.when(on, F.raise_error(F.lit(s["message"])).cast("boolean")).otherwise(F.lit(True)))
+    if not caught:
+        return where(df, on, lambda d: _one(d, kind, s)) if "if" in s else _one(df, kind, s)
+    mark = next(f"__failed{i}" for i in range(len(df.columns) + 1) if f"__failed{i}" not in df.columns)
+    df = df.withColumn(mark, on & _fails(df, kind, s))
+    df = where(df, on & ~F.col(mark), lambda d: _one(d, kind, s))
+    return where(df, F.col(mark), lambda d: apply(d, s.get("on_failure", []))).drop(mark)
+
+
+def _fails(df: DataFrame, kind: str, s: dict) -> Column:
+    """Rows that the processor cannot do."""
+    f = s.get("field", s.get("source_field"))
+    if not isinstance(f, str) or kind in ("set", "append", "remove", "script", "pipeline"):
+        return F.lit(False)
+    if f not in df.columns:
+        return F.lit(not s.get("ignore_missing", False))
+    missing = F.lit(False) if s.get("ignore_missing") else F.col(f).isNull()
+    if kind in ("convert", "date", "json"):
+        return missing | (F.col(f).isNotNull() & _SIMPLE[kind](F.col(f), s).isNull())
+    if kind == "grok":
+        hits = [F.col(f).rlike(grok_regex(p, s.get("pattern_definitions"))[0]) for p in s["patterns"]]
+        return missing | ~F.coalesce(F.greatest(*hits) if len(hits) > 1 else hits[0], F.lit(True))
+    if kind == "dissect":
+        return missing | ~F.coalesce(F.col(f).rlike(dissect_regex(s["pattern"])[0]), F.lit(True))
+    return missing
+
+
+def where(df: DataFrame, on: Column, step) -> DataFrame:
+    """`step` applied to the rows for which `on` holds; in the others every column keeps its value.
+
+    Columns that the step adds are null in the others, and columns that it removes are null in its own rows."""
+    names, p = df.columns, "__"
+    while any(c.startswith(f"{p}was_") for c in names):
+        p += "_"
+    new = step(df.withColumns({f"{p}on": on, **{f"{p}was_{c}": F.col(c) for c in names}}))
+    held, kinds, out = F.col(f"{p}on"), dict(new.dtypes), []
+    for c in [*names, *(c for c in new.columns if c not in names and not c.startswith((f"{p}was_", f"{p}on")))]:
+        was = F.col(f"{p}was_{c}") if c in names else None
+        if c not in new.columns:
+            out.append(F.when(~held, was).alias(c))
+        elif was is None:
+            out.append(F.when(held, F.col(c)).alias(c))
+        elif kinds[c] != kinds[f"{p}was_{c}"] and "void" not in (kinds[c], kinds[f"{p}was_{c}"]):
+            raise ValueError(f"a conditional processor may not change the type of [{c}] from {kinds[f'{p}was_{c}']} to {kinds[c]}; give it a target_field")
+        else:
+            out.append(F.when(held, F.col(c)).otherwise(was).alias(c))
+    return new.select(*out)
 
 
 _SIMPLE = {
@@ -113,6 +155,12 @@ def _one(df: DataFrame, kind: str, s: dict) -> DataFrame:
     if kind == "set":
         v = F.col(s["copy_from"]) if "copy_from" in s else F.lit(s["value"])
         return df if f in df.columns and s.get("override") is False else df.withColumn(f, v)
+    if kind == "dot_expander":
+        head, *rest = f.split(".")
+        value = F.col(f"`{f}`")
+        for part in reversed(rest):
+            value = F.struct(value.alias(part))
+        return df.withColumn(head, value).drop(f)
     if kind == "append":
         return df.withColumn(f, F.concat(F.col(f), F.array(*map(F.lit, s["value"] if isinstance(s["value"], list) else [s["value"]]))))
     if kind == "rename":
@@ -123,7 +171,7 @@ def _one(df: DataFrame, kind: str, s: dict) -> DataFrame:
         return df.drop(*(f if isinstance(f, list) else [f]))
     if kind == "remove_by_pattern":
         rx = [re.compile(re.escape(p).replace(r"\*", ".*") + r"\Z") for p in s["field_pattern"]]
-        return df.drop(*(c for c in df.columns if any(r.match(c) for r in rx)))
+        return df.drop(*(c for c in df.columns if not c.startswith("__") and any(r.match(c) for r in rx)))
     if kind == "csv":
         parts = F.split(F.col(f), re.escape(s.get("separator", ",")), -1)
         return df.withColumns({t: F.try_element_at(parts, F.lit(i + 1)) for i, t in enumerate(s["target_fields"])})
@@ -148,7 +196,7 @@ def _one(df: DataFrame, kind: str, s: dict) -> DataFrame:
         unit = {"y": "year", "M": "month", "w": "week", "d": "day", "h": "hour"}[s["date_rounding"]]
         return df.withColumn("_index", F.concat(F.lit(s.get("index_name_prefix", "")), F.date_format(F.date_trunc(unit, t), s.get("index_name_format", "yyyy-MM-dd"))))
     if kind == "fingerprint":
-        fields = s.get("fields", df.columns)
+        fields = s.get("fields", [c for c in df.columns if not c.startswith("__")])
         text = F.concat(*(F.concat(F.lit(f"|{n}|"), F.coalesce(F.col(n).cast("string"), F.lit(""))) for n in sorted(fields)), F.lit("|"))
         how = s.get("hash_method", "SHA-1@2.16.0").split("@")[0]
         h = {"MD5": lambda: F.md5(text), "SHA-1": lambda: F.sha1(text), "SHA-256": lambda: F.sha2(text, 256)}[how]()
@@ -167,8 +215,4 @@ def _one(df: DataFrame, kind: str, s: dict) -> DataFrame:
         return df.withColumn(f, F.transform(F.col(f), lambda x: _SIMPLE[inner](x, o)))
     if kind == "pipeline":
         return apply(df, s["processors"])
-    if kind == "drop":
-        return df.limit(0) if "if" not in s else df
-    if kind == "fail":
-        return df.withColumn("_fail", F.raise_error(F.lit(s["message"]))) if "if" not in s else df
     raise ValueError(f"unknown processor [{kind}]")

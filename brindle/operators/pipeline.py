@@ -42,7 +42,8 @@ def moving_fn(t: DataFrame, key: str, path: str, name: str, kind: str, window: i
     elif kind == "ewma":
         out = F.aggregate(F.slice("__xs", F.lit(2), n), at(1), lambda s, x: x * alpha + s * (1 - alpha))
     elif kind in ("holt", "holtWinters"):
-        start = F.struct(at(1).alias("s"), F.lit(0.0).alias("b"))
+        trend = F.coalesce(F.try_element_at("__xs", F.lit(2)) - at(1), F.lit(0.0))
+        start = F.struct(at(1).alias("s"), trend.alias("b"))
         step = lambda a, x: F.struct((x * alpha + (a["s"] + a["b"]) * (1 - alpha)).alias("s"), (((x * alpha + (a["s"] + a["b"]) * (1 - alpha)) - a["s"]) * beta + a["b"] * (1 - beta)).alias("b"))
         out = F.aggregate(F.slice("__xs", F.lit(2), n), start, step, lambda a: a["s"] + a["b"])
         if kind == "holtWinters":

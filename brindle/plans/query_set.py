@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import aggs, hybrid, ingest, percolate, pipeline
+from ..sources import writes
 from ..streaming import jobs
 from .catalogue import found, hits, register, rounded, table
 
@@ -67,14 +68,10 @@ register("sort_paged", "orders", hits("orders", {"query": {"term": {"o_orderstat
 register("search_after_page", "orders", hits("orders", {"sort": [{"o_orderstatus": "asc"}], "search_after": ["F", 100], "size": 10}, *O), "SELECT o_orderkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderstatus > 'F' OR (o_orderstatus = 'F' AND o_orderkey > 100) ORDER BY o_orderstatus, o_orderkey LIMIT 10")
 register("collapse_best", "orders", hits("orders", {"sort": [{"o_totalprice": "desc"}], "collapse": {"field": "o_orderpriority"}, "size": 10}, "o_orderpriority", "o_orderkey"), "SELECT o_orderpriority, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
 register("script_sort", "orders", hits("orders", {"sort": [{"_script": {"script": "doc['o_totalprice'].value % 1000", "order": "desc"}}], "size": 10}, "o_orderkey"), "SELECT o_orderkey FROM orders ORDER BY o_totalprice % 1000 DESC, o_orderkey LIMIT 10")
-register("post_filter", "orders", hits("orders", {"query": {"range": {"o_totalprice": {"gt": 2000}}}, "post_filter": {"term": {"o_orderstatus": "P"}}, "sort": ["o_orderkey"], "size": 50}, "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderstatus = 'P' ORDER BY o_orderkey LIMIT 50")
 register("post_filter_whole", "orders", hits("orders", {"query": {"range": {"o_totalprice": {"gt": 2000}}}, "post_filter": {"term": {"o_orderstatus": "P"}}, "sort": ["o_orderkey"], "size": None}, "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderstatus = 'P' ORDER BY o_orderkey")
-register("script_fields", "orders", lambda e: rounded(e.search("orders", {"sort": ["o_orderkey"], "size": 20, "script_fields": {"half": {"script": "doc['o_totalprice'].value / 2"}}}).select("o_orderkey", "half")), "SELECT o_orderkey, round(o_totalprice / 2, 4) AS half FROM orders ORDER BY o_orderkey LIMIT 20")
 register("script_fields_whole", "orders", lambda e: rounded(e.search("orders", {"sort": ["o_orderkey"], "size": None, "script_fields": {"half": {"script": "doc['o_totalprice'].value / 2"}}}).select("o_orderkey", "half")), "SELECT o_orderkey, round(o_totalprice / 2, 4) AS half FROM orders ORDER BY o_orderkey")
-register("source_filter", "orders", lambda e: e.search("orders", {"sort": ["o_orderkey"], "size": 20, "_source": {"includes": ["o_*"], "excludes": ["*date", "*priority"]}}).drop("_score"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 20")
 register("source_filter_whole", "orders", lambda e: e.search("orders", {"sort": ["o_orderkey"], "size": None, "_source": {"includes": ["o_*"], "excludes": ["*date", "*priority"]}}).drop("_score"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey")
 register("slice_partition", "orders", hits("orders", {"slice": {"id": 1, "max": 4}, "sort": ["o_orderkey"], "size": 100}, "o_orderkey"))
-register("named_queries", "orders", lambda e: e.search("orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "F", "_name": "done"}}}, {"range": {"o_totalprice": {"gt": 100000, "_name": "big"}}}]}}, "sort": ["o_orderkey"], "size": 30}).select("o_orderkey", F.array_join("matched_queries", ",").alias("names")), "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_totalprice > 100000 THEN 'big' END], lambda x: x IS NOT NULL), ',') AS names FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000 ORDER BY o_orderkey LIMIT 30")
 register("named_queries_whole", "orders", lambda e: e.search("orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "F", "_name": "done"}}}, {"range": {"o_totalprice": {"gt": 100000, "_name": "big"}}}]}}, "sort": ["o_orderkey"], "size": None}).select("o_orderkey", F.array_join("matched_queries", ",").alias("names")), "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_totalprice > 100000 THEN 'big' END], lambda x: x IS NOT NULL), ',') AS names FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000 ORDER BY o_orderkey")
 
 
@@ -158,7 +155,7 @@ metric("histogram", "orders", {"bucket": {"histogram": {"field": "o_totalprice",
 register("histogram_bounds", "lineitem", lambda e: aggs.filled(e.aggregate("lineitem", {"query": {"range": {"l_quantity": {"gte": 20, "lte": 30}}}, "aggs": {"b": {"histogram": {"field": "l_quantity", "interval": 5}}}}).withColumn("b", F.col("b").cast("long")), "b", F.lit(5).cast("long"), None, (0, 50)).select("b", "doc_count"), "SELECT r.b, count(l_quantity) AS doc_count FROM (SELECT unnest(range(0, 51, 5)) AS b) r LEFT JOIN lineitem ON l_quantity BETWEEN 20 AND 30 AND floor(l_quantity / 5) * 5 = r.b GROUP BY 1")
 metric("date_hist_fixed", "events", {"bucket": {"date_histogram": {"field": "ts", "fixed_interval": "12h"}, "aggs": {"v": {"avg": {"field": "value"}}}}}, "SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS bucket, count(*) AS doc_count, round(avg(value), 4) AS v FROM events GROUP BY 1")
 metric("date_hist_month", "orders", {"bucket": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "month"}}}, "SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS bucket, count(*) AS doc_count FROM orders GROUP BY 1")
-metric("date_hist_week", "orders", {"bucket": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "week"}}}, "SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS bucket, count(*) AS doc_count FROM orders GROUP BY 1")
+metric("date_hist_week", "orders", {"bucket": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "week"}}}, "WITH t AS (SELECT date_trunc('week', o_orderdate)::TIMESTAMP AS bucket FROM orders), f AS (SELECT unnest(generate_series(min(bucket), max(bucket), INTERVAL 7 DAY)) AS bucket FROM t) SELECT f.bucket, count(t.bucket) AS doc_count FROM f LEFT JOIN t USING (bucket) GROUP BY 1")
 metric("date_hist_offset", "events", {"bucket": {"date_histogram": {"field": "ts", "calendar_interval": "day", "offset": "+6h"}}}, "SELECT date_trunc('day', ts - INTERVAL 6 HOUR)::TIMESTAMP + INTERVAL 6 HOUR AS bucket, count(*) AS doc_count FROM events GROUP BY 1")
 metric("date_hist_zone", "events", {"bucket": {"date_histogram": {"field": "ts", "calendar_interval": "day", "time_zone": "Asia/Tokyo"}}}, "SELECT date_trunc('day', ts + INTERVAL 9 HOUR)::TIMESTAMP - INTERVAL 9 HOUR AS bucket, count(*) AS doc_count FROM events GROUP BY 1")
 metric("auto_date_histogram", "events", {"bucket": {"auto_date_histogram": {"field": "ts", "buckets": 40}}}, "SELECT date_trunc('day', ts)::TIMESTAMP AS bucket, count(*) AS doc_count FROM events GROUP BY 1")
@@ -179,8 +176,8 @@ _MONTHS = {"aggs": {"m": {"date_histogram": {"field": "o_orderdate", "calendar_i
 _M = "WITH t AS (SELECT date_trunc('month', o_orderdate)::TIMESTAMP AS m, count(*) AS doc_count, sum(o_totalprice) AS s FROM orders GROUP BY 1) "
 
 
-def piped(name, fn, sql):
-    register(name, "orders", lambda e: rounded(fn(e.aggregate("orders", _MONTHS)), 2), _M + sql if sql else None)
+def piped(name, fn, sql, digits=2):
+    register(name, "orders", lambda e: rounded(fn(e.aggregate("orders", _MONTHS)), digits), _M + sql if sql else None)
 
 
 piped("cumulative_sum", lambda t: pipeline.cumulative_sum(t, "m", "s", "x").select("m", "x"), "SELECT m, round(sum(s) OVER (ORDER BY m), 2) AS x FROM t")
@@ -189,7 +186,7 @@ piped("serial_diff", lambda t: pipeline.serial_diff(t, "m", "s", "x", 12).select
 piped("moving_avg", lambda t: pipeline.moving_avg(t, "m", "s", "x", 5).select("m", "x"), "SELECT m, round(avg(s) OVER (ORDER BY m ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING), 2) AS x FROM t")
 piped("moving_fn_sum", lambda t: pipeline.moving_fn(t, "m", "s", "x", "sum", 3, 1).select("m", "x"), "SELECT m, round(coalesce(sum(s) OVER (ORDER BY m ROWS BETWEEN 2 PRECEDING AND CURRENT ROW), 0), 2) AS x FROM t")
 piped("moving_fn_linear", lambda t: pipeline.moving_fn(t, "m", "s", "x", "linearWeightedAvg", 3).select("m", "x"), "SELECT m, round(CASE WHEN c IS NOT NULL THEN (a * 3 + b * 2 + c) / 6 WHEN b IS NOT NULL THEN (a * 2 + b) / 3 ELSE a END, 2) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b, lag(s, 3) OVER w AS c FROM t WINDOW w AS (ORDER BY m))")
-piped("moving_fn_ewma", lambda t: pipeline.moving_fn(t, "m", "s", "x", "ewma", 2, alpha=0.3137).select("m", "x"), "SELECT m, round(CASE WHEN b IS NOT NULL THEN a * 0.3137::DOUBLE + b * (1 - 0.3137)::DOUBLE ELSE a END, 2) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b FROM t WINDOW w AS (ORDER BY m))")
+piped("moving_fn_ewma", lambda t: pipeline.moving_fn(t, "m", "s", "x", "ewma", 2, alpha=0.3).select("m", "x"), "SELECT m, round(CASE WHEN b IS NOT NULL THEN a * 0.3::DOUBLE + b * (1 - 0.3)::DOUBLE ELSE a END, 4) AS x FROM (SELECT m, lag(s) OVER w AS a, lag(s, 2) OVER w AS b FROM t WINDOW w AS (ORDER BY m))", 4)
 piped("moving_fn_holt", lambda t: pipeline.moving_fn(t, "m", "s", "x", "holt", 6).select("m", "x"), None)
 piped("moving_fn_holt_winters", lambda t: pipeline.moving_fn(t, "m", "s", "x", "holtWinters", 24, period=6).select("m", "x"), None)
 piped("bucket_script", lambda t: pipeline.bucket_script(t, "x", {"a": "s", "n": "doc_count"}, "params.a / params.n").select("m", "x"), "SELECT m, round(s / doc_count, 2) AS x FROM t")
@@ -198,7 +195,7 @@ piped("bucket_sort", lambda t: pipeline.bucket_sort(t, [("s", "desc")], 5, 2).se
 for _k, _f in (("avg", "avg"), ("sum", "sum"), ("min", "min"), ("max", "max")):
     piped(f"{_k}_bucket", (lambda k: lambda t: pipeline.sibling(t, f"{k}_bucket", "s", "x"))(_k), f"SELECT round({_f}(s), 2) AS x FROM t")
 piped("stats_bucket", lambda t: pipeline.sibling(t, "stats_bucket", "s", "x"), "SELECT count(s) AS x_count, round(min(s), 2) AS x_min, round(max(s), 2) AS x_max, round(avg(s), 2) AS x_avg, round(sum(s), 2) AS x_sum FROM t")
-piped("extended_stats_bucket", lambda t: pipeline.sibling(t, "extended_stats_bucket", "doc_count", "x"), "SELECT count(s) AS x_count, min(doc_count)::DOUBLE AS x_min, max(doc_count)::DOUBLE AS x_max, round(avg(doc_count), 2) AS x_avg, sum(doc_count)::DOUBLE AS x_sum, sum(doc_count * doc_count)::DOUBLE AS x_sum_of_squares, round(var_pop(doc_count), 2) AS x_variance, round(stddev_pop(doc_count), 2) AS x_std_deviation, round(avg(doc_count) + 2 * stddev_pop(doc_count), 2) AS x_upper, round(avg(doc_count) - 2 * stddev_pop(doc_count), 2) AS x_lower FROM t")
+piped("extended_stats_bucket", lambda t: pipeline.sibling(t, "extended_stats_bucket", "doc_count", "x"), "SELECT count(s) AS x_count, min(doc_count)::DOUBLE AS x_min, max(doc_count)::DOUBLE AS x_max, round(avg(doc_count), 4) AS x_avg, sum(doc_count)::DOUBLE AS x_sum, sum(doc_count * doc_count)::DOUBLE AS x_sum_of_squares, round(var_pop(doc_count), 4) AS x_variance, round(stddev_pop(doc_count), 4) AS x_std_deviation, round(avg(doc_count) + 2 * stddev_pop(doc_count), 4) AS x_upper, round(avg(doc_count) - 2 * stddev_pop(doc_count), 4) AS x_lower FROM t", 4)
 piped("percentiles_bucket", lambda t: pipeline.sibling(t, "percentiles_bucket", "s", "x", percents=(25, 50, 75)), "SELECT " + ", ".join(f"round(list_sort(list(s))[floor({p / 100} * (count(*) - 1) + 0.5)::INT + 1], 2) AS x_{p}" for p in (25, 50, 75)) + " FROM t")
 
 # ---- SQL and PPL ------------------------------------------------------------------------------------------------------
@@ -212,15 +209,11 @@ sql("sql_group_having", "orders", "SELECT o_orderstatus, count(*) AS n, round(av
 sql("sql_default_limit", "region", "SELECT r_regionkey, r_name FROM region")
 sql("sql_limit_offset", "orders", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 10", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10 OFFSET 5")
 sql("sql_distinct", "lineitem", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
-sql("sql_case", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey LIMIT 100")
 sql("sql_case_whole", "orders", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey LIMIT ALL", "SELECT o_orderkey, CASE WHEN o_totalprice > 100000 THEN 'big' WHEN o_totalprice > 10000 THEN 'mid' ELSE 'small' END AS size FROM orders ORDER BY o_orderkey")
-sql("sql_between_in_like", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey LIMIT 1000")
 sql("sql_between_in_like_whole", "orders", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey LIMIT ALL", "SELECT o_orderkey FROM orders WHERE o_totalprice BETWEEN 1000 AND 90000 AND o_orderstatus IN ('F', 'P') AND o_orderpriority LIKE '%-H%' ORDER BY o_orderkey")
-sql("sql_functions", "customer", "SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT 100", "SELECT c_custkey, upper(c_name) AS u, length(c_name)::INT AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT 100")
 sql("sql_functions_whole", "customer", "SELECT c_custkey, upper(c_name) AS u, length(c_name) AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey LIMIT ALL", "SELECT c_custkey, upper(c_name) AS u, length(c_name)::INT AS n, substring(c_name, 1, 4) AS s, concat(c_name, '!') AS c, replace(c_name, '#', '-') AS r, abs(c_acctbal) AS a, coalesce(c_mktsegment, '-') AS m FROM customer ORDER BY c_custkey")
 sql("sql_date_parts", "orders", "SELECT year(o_orderdate) AS y, quarter(o_orderdate) AS q, count(*) AS n FROM orders GROUP BY 1, 2", "SELECT year(o_orderdate)::INT AS y, quarter(o_orderdate)::INT AS q, count(*) AS n FROM orders GROUP BY 1, 2")
 sql("sql_aggregates", "lineitem", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS d, round(var_pop(l_quantity), 4) AS v, round(stddev_samp(l_quantity), 4) AS s FROM lineitem GROUP BY l_returnflag")
-sql("sql_full_text", "part", "SELECT p_partkey FROM part WHERE match(p_name, 'red') AND p_size > 5 LIMIT 100000", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND p_size > 5")
 sql("sql_full_text_whole", "part", "SELECT p_partkey FROM part WHERE match(p_name, 'red') AND p_size > 5 LIMIT ALL", "SELECT p_partkey FROM part WHERE list_contains(string_split(lower(p_name), ' '), 'red') AND p_size > 5")
 sql("ext_inner_join", "orders customer", "SELECT c_mktsegment, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_mktsegment")
 sql("ext_left_join", "customer orders", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
@@ -229,7 +222,6 @@ sql("ext_intersect", "customer supplier", "SELECT c_nationkey AS k FROM customer
 sql("ext_except", "nation supplier", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier")
 sql("ext_rollup", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 sql("ext_cube", "lineitem", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
-sql("ext_row_number", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1 LIMIT 1000000")
 sql("ext_row_number_whole", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1 LIMIT ALL", "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) t WHERE r = 1")
 
 
@@ -243,7 +235,6 @@ ppl("ppl_eval", "lineitem", "source=lineitem | eval net = l_extendedprice * (1 -
 ppl("ppl_top", "orders", "source=orders | top 3 o_orderpriority", "SELECT o_orderpriority FROM orders GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3")
 ppl("ppl_rare", "orders", "source=orders | rare 2 o_orderstatus", "SELECT o_orderstatus FROM orders GROUP BY 1 ORDER BY count(*), 1 LIMIT 2")
 ppl("ppl_dedup", "lineitem", "source=lineitem | dedup l_returnflag, l_linestatus", "SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
-ppl("ppl_fields_rename", "orders", "source=orders o_orderstatus = 'P' | fields o_orderkey, o_totalprice | rename o_totalprice as price | sort o_orderkey | head 30", "SELECT o_orderkey, round(o_totalprice, 4) AS price FROM orders WHERE o_orderstatus = 'P' ORDER BY 1 LIMIT 30")
 ppl("ppl_fields_rename_whole", "orders", "source=orders o_orderstatus = 'P' | fields o_orderkey, o_totalprice | rename o_totalprice as price | sort o_orderkey", "SELECT o_orderkey, round(o_totalprice, 4) AS price FROM orders WHERE o_orderstatus = 'P' ORDER BY 1")
 
 # ---- vectors ----------------------------------------------------------------------------------------------------------
@@ -318,3 +309,70 @@ register("rollup_search", "events", lambda e: rounded(jobs.rollup_search(jobs.ro
 register("tumbling", "events", lambda e: rounded(jobs.tumbling(e.index("events").df.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "6 hours", ["event_type"])), "SELECT time_bucket(INTERVAL 6 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 register("sliding", "events", lambda e: rounded(jobs.tumbling(e.index("events").df.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "2 hours", [], slide="1 hour")), "SELECT start, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT unnest([date_trunc('hour', ts)::TIMESTAMP, date_trunc('hour', ts)::TIMESTAMP - INTERVAL 1 HOUR]) AS start, value FROM events) GROUP BY 1")
 register("session", "events", lambda e: jobs.sessions(e.index("events").df.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "4 hours", "user_id"), "SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) < INTERVAL 4 HOUR THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s")
+
+
+# ---- aggregation trees --------------------------------------------------------------------------------------------------
+
+_TREE = {"aggs": {"total": {"sum": P}, "s": {"terms": {"field": "o_orderstatus", "size": 2, "order": {"price": "desc"}}, "aggs": {"price": {"avg": P}, "p": {"terms": {"field": "o_orderpriority", "size": 3, "order": {"_key": "asc"}}, "aggs": {"c": {"cardinality": {"field": "o_custkey"}}, "y": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "year"}, "aggs": {"top": {"max": P}}}}}}}}}
+register("tree_three_levels", "orders", lambda e: rounded(e.aggregate("orders", _TREE)), """
+WITH s AS (SELECT o_orderstatus AS s, avg(o_totalprice) AS price FROM orders GROUP BY 1 ORDER BY 2 DESC LIMIT 2),
+p AS (SELECT o_orderstatus AS s, o_orderpriority AS p, count(DISTINCT o_custkey) AS c, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority) AS r FROM orders GROUP BY 1, 2),
+k AS (SELECT s, p, price, c FROM s JOIN p USING (s) WHERE r <= 3),
+o AS (SELECT k.*, year(o_orderdate) AS y, o_totalprice FROM k JOIN orders ON o_orderstatus = s AND o_orderpriority = p),
+f AS (SELECT s, p, any_value(price) AS price, any_value(c) AS c, unnest(generate_series(min(y), max(y))) AS y FROM o GROUP BY 1, 2)
+SELECT f.s, f.p, make_timestamp(f.y, 1, 1, 0, 0, 0) AS y, count(o_totalprice) AS doc_count, round(max(o_totalprice), 4) AS top, round(any_value(f.price), 4) AS price, any_value(f.c) AS c, (SELECT round(sum(o_totalprice), 4) FROM orders) AS total
+FROM f LEFT JOIN o ON o.s = f.s AND o.p = f.p AND o.y = f.y GROUP BY f.s, f.p, f.y""")
+_SIDE = {"aggs": {"all": {"avg": P}, "s": {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"max": P}}}, "p": {"terms": {"field": "o_orderpriority"}, "aggs": {"s": {"terms": {"field": "o_orderstatus"}, "aggs": {"least": {"min": P}}}, "low": {"min_bucket": {"buckets_path": "s>least"}}}}, "high": {"max_bucket": {"buckets_path": "s>best"}}}}
+for _name, _path, _sql in (
+    ("tree_siblings_metrics", "", "SELECT round(avg(o_totalprice), 4) AS \"all\" FROM orders"),
+    ("tree_siblings_first", "s", "SELECT o_orderstatus AS s, count(*) AS doc_count, round(max(o_totalprice), 4) AS best FROM orders GROUP BY 1"),
+    ("tree_siblings_inner", "p>s", "SELECT o_orderpriority AS p, o_orderstatus AS s, count(*) AS doc_count, round(min(o_totalprice), 4) AS least FROM orders GROUP BY 1, 2"),
+    ("tree_sibling_pipeline", "high", "SELECT round(max(o_totalprice), 4)::DOUBLE AS high FROM orders"),
+    ("tree_sibling_pipeline_per_parent", "p>low", "SELECT o_orderpriority AS p, round(min(o_totalprice), 4)::DOUBLE AS low FROM orders GROUP BY 1"),
+):
+    register(_name, "orders", lambda e, _path=_path: rounded(e.aggregate_tables("orders", _SIDE)[_path]), _sql)
+_GAP = {"query": {"range": {"o_totalprice": {"gt": 150000}}}, "aggs": {"d": {"date_histogram": {"field": "o_orderdate", "calendar_interval": "day"}, "aggs": {"s": {"sum": P}, "up": {"derivative": {"buckets_path": "s"}}, "so_far": {"cumulative_sum": {"buckets_path": "_count"}}}}}}
+register("tree_gaps_and_pipelines", "orders", lambda e: rounded(e.aggregate("orders", _GAP), 2), """
+WITH t AS (SELECT date_trunc('day', o_orderdate)::TIMESTAMP AS d, o_totalprice FROM orders WHERE o_totalprice > 150000),
+f AS (SELECT unnest(generate_series(min(d), max(d), INTERVAL 1 DAY)) AS d FROM t),
+g AS (SELECT f.d, count(o_totalprice) AS doc_count, coalesce(sum(o_totalprice), 0) AS s FROM f LEFT JOIN t USING (d) GROUP BY 1)
+SELECT d, doc_count, round(s, 2) AS s, round(s - lag(s) OVER (ORDER BY d), 2) AS up, sum(doc_count) OVER (ORDER BY d)::BIGINT AS so_far FROM g""")
+metric("histogram_gaps", "orders", {"b": {"histogram": {"field": "o_totalprice", "interval": 500, "extended_bounds": {"min": -1000, "max": 2000}}}}, "WITH t AS (SELECT floor(o_totalprice / 500)::BIGINT AS i FROM orders), f AS (SELECT unnest(generate_series(least(min(i), -2), greatest(max(i), 4))) AS i FROM t) SELECT f.i * 500.0::DOUBLE AS b, count(t.i) AS doc_count FROM f LEFT JOIN t USING (i) GROUP BY f.i")
+register("top_hits_string_desc", "orders", lambda e: e.aggregate("orders", {"aggs": {"o_orderstatus": {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"top_hits": {"size": 1, "_source": ["o_orderkey"], "sort": [{"o_orderpriority": "desc"}, "o_orderkey"]}}}}}}).select("o_orderstatus", F.col("best")[0]["o_orderkey"].alias("k")), "SELECT o_orderstatus, o_orderkey AS k FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority DESC, o_orderkey) AS r FROM orders) WHERE r = 1")
+
+# ---- ingest conditions and failures --------------------------------------------------------------------------------------
+
+_F = "ctx.o_orderstatus == 'F'"
+ing("ingest_if_rename", "orders", [{"rename": {"field": "o_orderpriority", "target_field": "p", "if": _F}}], ("o_orderkey", "o_orderpriority", "p"), "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS p FROM orders")
+ing("ingest_if_remove", "orders", [{"remove": {"field": "o_orderpriority", "if": _F}}], ("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderpriority END AS o_orderpriority FROM orders")
+ing("ingest_if_script", "orders", [{"script": {"source": "ctx.o_totalprice = ctx.o_totalprice * 2", "if": _F}}], ("o_orderkey", "round(o_totalprice, 4) AS p"), "SELECT o_orderkey, round(CASE WHEN o_orderstatus = 'F' THEN o_totalprice * 2 ELSE o_totalprice END, 4) AS p FROM orders")
+ing("ingest_if_copy", "orders", [{"copy": {"source_field": "o_orderstatus", "target_field": "o_orderpriority", "if": _F}}], ("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderstatus ELSE o_orderpriority END AS o_orderpriority FROM orders")
+ing("ingest_if_append", "part", [{"split": {"field": "p_name", "separator": " "}}, {"append": {"field": "p_name", "value": "large", "if": "ctx.p_size > 25"}}, {"join": {"field": "p_name", "separator": "-"}}], ("p_partkey", "p_name"), "SELECT p_partkey, replace(p_name, ' ', '-') || CASE WHEN p_size > 25 THEN '-large' ELSE '' END AS p_name FROM part")
+ing("ingest_if_grok", "pages", [{"grok": {"field": "url", "patterns": ["%{URIPROTO:url}://%{GREEDYDATA:rest}"], "if": "ctx.page_id > 50"}}], ("page_id", "url", "rest"), "SELECT page_id, CASE WHEN page_id > 50 THEN string_split(url, '://')[1] ELSE url END AS url, CASE WHEN page_id > 50 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages")
+ing("ingest_if_csv", "part", [{"csv": {"field": "p_name", "target_fields": ["p_brand", "second"], "separator": " ", "if": "ctx.p_size > 25"}}], ("p_partkey", "p_brand", "second"), "SELECT p_partkey, CASE WHEN p_size > 25 THEN string_split(p_name, ' ')[1] ELSE p_brand END AS p_brand, CASE WHEN p_size > 25 THEN string_split(p_name, ' ')[2] END AS second FROM part")
+ing("ingest_on_failure", "orders", [{"convert": {"field": "o_orderpriority", "type": "long", "target_field": "n", "on_failure": [{"set": {"field": "bad", "value": "yes", "if": _F}}]}}], ("o_orderkey", "n", "bad"), "SELECT o_orderkey, TRY_CAST(o_orderpriority AS BIGINT) AS n, CASE WHEN TRY_CAST(o_orderpriority AS BIGINT) IS NULL AND o_orderstatus = 'F' THEN 'yes' END AS bad FROM orders")
+ing("ingest_ignore_failure", "orders", [{"fail": {"message": "never", "if": _F, "ignore_failure": True}}, {"dissect": {"field": "o_orderpriority", "pattern": "1-%{o_orderpriority}", "ignore_failure": True}}], ("o_orderkey", "o_orderpriority"), "SELECT o_orderkey, CASE WHEN starts_with(o_orderpriority, '1-') THEN substr(o_orderpriority, 3) ELSE o_orderpriority END AS o_orderpriority FROM orders")
+
+# ---- writes -------------------------------------------------------------------------------------------------------------
+
+
+def _written(e):
+    """Orders as an index; by the key's remainder they are left, updated twice, deleted, made anew or indexed over."""
+    rows = e.index("orders").df
+    doc = F.create_map(F.lit("status"), F.to_json(F.struct("o_orderstatus")), F.lit("n"), F.col("o_custkey").cast("string"))
+    key = F.col("o_orderkey").cast("string")
+    index = rows.filter("o_orderkey % 5 <> 3").select(key.alias("_id"), F.lit(1).cast("long").alias("_version"), doc.alias("doc"))
+    put = lambda k, v: F.create_map(F.lit(k), F.lit(v))
+    none = F.lit(None).cast(writes.DOC)
+    steps = [(1, "update", put("n", "7"), "1"), (2, "update", put("n", "7"), "1"), (3, "update", put("m", "8"), "1"), (4, "delete", none, "2"), (5, "create", put("n", "3"), "3"), (6, "create", put("n", "4"), "3"), (7, "index", put("n", "5"), "4")]
+    actions = None
+    for seq, op, d, rest in steps:
+        part = rows.filter(f"o_orderkey % 5 = {rest}").select(F.lit(seq).cast("long").alias("_seq"), F.lit(op).alias("op"), key.alias("_id"), d.alias("doc"), none.alias("upsert"))
+        actions = part if actions is None else actions.unionByName(part)
+    return writes.bulk(index, actions).select(F.col("_id").cast("bigint").alias("k"), "_version", F.col("doc")["n"].alias("n"), F.col("doc")["m"].alias("m"))
+
+
+register("write_bulk", "orders", _written, "SELECT o_orderkey AS k, CASE o_orderkey % 5 WHEN 1 THEN CASE WHEN o_custkey = 7 THEN 2 ELSE 3 END WHEN 4 THEN 2 ELSE 1 END::BIGINT AS _version, CASE o_orderkey % 5 WHEN 0 THEN o_custkey::VARCHAR WHEN 1 THEN '7' WHEN 3 THEN '3' ELSE '5' END AS n, CASE o_orderkey % 5 WHEN 1 THEN '8' END AS m FROM orders WHERE o_orderkey % 5 <> 2")
+register("write_delete_by_query", "orders", lambda e: writes.delete_by_query(e.index("orders").df, F.col("o_orderstatus") == "F").select("o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F'")
+register("write_update_by_query", "orders", lambda e: writes.update_by_query(e.index("orders").df, F.col("o_orderstatus") == "F", [{"script": {"source": "ctx.o_totalprice = ctx.o_totalprice + 1"}}, {"drop": {"if": "ctx.o_orderpriority == '1-URGENT'"}}]).select("o_orderkey", F.round("o_totalprice", 4).alias("p")), "SELECT o_orderkey, round(o_totalprice + CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END, 4) AS p FROM orders WHERE NOT (o_orderstatus = 'F' AND o_orderpriority = '1-URGENT')")
+register("write_reindex", "orders", lambda e: writes.reindex(e.index("orders").df, F.col("o_totalprice") > 50000, [{"rename": {"field": "o_orderstatus", "target_field": "status"}}], ["o_orderkey", "o_orderstatus"]), "SELECT o_orderkey, o_orderstatus AS status FROM orders WHERE o_totalprice > 50000")
