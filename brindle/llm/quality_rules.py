@@ -3,8 +3,9 @@
 The references are counted over all documents in a first pass: for each language that has `ENOUGH` words, or `MIN_LANG`
 of all words where that is less, the distribution over eight character classes, and over the language's common words
 (each at least `COMMON` of its words) with one bin for the rest.  So a language has at most 1/COMMON words, however many
-languages there are.  Each task sums in numpy and drops, as it goes, words below half of COMMON of what it has seen
-(lossy counting).
+languages there are.  In a first pass each task sums in numpy and drops, as it goes, words below half of COMMON of what
+it has seen (lossy counting), which leaves at most 2/COMMON candidates to a language; a second pass counts these whole,
+so the references do not depend on how the rows are dealt out.
 
 A document fails if its distance to its language's reference is over a limit, provided that it is long enough for the
 histogram to mean something; of a document whose language has no reference only the base rule decides.
@@ -129,12 +130,12 @@ def references(docs: DataFrame) -> dict:
                     a, back = np.unique(np.concatenate([a, mine]), return_inverse=True)
                     n = np.bincount(back, np.concatenate([n, np.ones(len(mine), np.int64)]), len(a)).astype(np.int64)
                     if len(a) > 16 / COMMON:
-                        keep = n > COMMON / 2 * total[lang]
+                        keep = n >= COMMON / 2 * total[lang]
                         a, n = a[keep], n[keep]
                     seen[lang] = a, n
         rows = []
         for lang, (a, n) in seen.items():
-            keep = n > COMMON / 2 * total[lang]
+            keep = n >= COMMON / 2 * total[lang]
             rows += [(lang, "c", k, int(x)) for k, x in enumerate(chars[lang])] + [(lang, "t", 0, total[lang])]
             rows += [(lang, "w", k, x) for k, x in zip(a[keep].view(np.int64).tolist(), n[keep].tolist(), strict=True)]
         if rows:
@@ -146,14 +147,18 @@ def references(docs: DataFrame) -> dict:
     totals = sums.filter("kind = 't'").select("lang", F.col("n").alias("total"))
     all_words = totals.agg(F.sum("total")).first()[0] or 0
     large = totals.filter(F.col("total") >= min(ENOUGH, max(1.0, MIN_LANG * all_words)))
-    rows = sums.join(F.broadcast(large), "lang").filter((F.col("kind") == "c") | ((F.col("kind") == "w") & (F.col("n") >= COMMON * F.col("total"))))
+    # a common word is in the sums, with COMMON / 2 of all words at least, as a task leaves out less than that of it
+    rows = sums.join(F.broadcast(large), "lang").filter((F.col("kind") == "c") | ((F.col("kind") == "w") & (F.col("n") >= COMMON / 2 * F.col("total"))))
     out: dict = {}
     for lang, kind, key, n, whole in rows.select("lang", "kind", "key", "n", "total").collect():
         entry = out.setdefault(lang, (np.zeros(len(CLASSES)), {}, whole))
         if kind == "c":
             entry[0][key] = n
         else:
-            entry[1][np.uint64(np.int64(key).view(np.uint64))] = n / whole
+            entry[1][np.uint64(np.int64(key).view(np.uint64))] = 0.0
+    for lang, key, n in _exact(docs, {x: np.array(sorted(e[1]), np.uint64) for x, e in out.items()}).collect():
+        out[lang][1][np.uint64(np.int64(key).view(np.uint64))] = n / out[lang][2]
+    out = {x: (c, {k: v for k, v in w.items() if v >= COMMON}, n) for x, (c, w, n) in out.items()}
     done = {}
     for lang, (c, w, _) in sorted(out.items()):
         keys = np.array(sorted(w), np.uint64)
@@ -161,6 +166,32 @@ def references(docs: DataFrame) -> dict:
     return done
 
 
+def _exact(docs: DataFrame, asked: dict[str, np.ndarray]) -> DataFrame:
+    """(lang, key, n): whole counts of the asked words of each language."""
+
+    def count(batches):
+        found = {x: np.zeros(len(k), np.int64) for x, k in asked.items()}
+        for batch in batches:
+            for piece in cut(batch):
+                buf, off = flat(piece.column(0))
+                starts, ends, wb = words(buf, off)
+                h = common_form(buf, starts, ends)
+                langs = np.array(piece.column(1).to_pylist(), object)
+                word_of = np.repeat(langs, np.diff(wb))
+                for lang in {x for x in langs.tolist() if x in asked}:
+                    keys, mine = asked[lang], h[word_of == lang]
+                    if len(keys):
+                        at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                        found[lang] += np.bincount(at[keys[at] == mine], minlength=len(keys))
+        for lang, n in found.items():
+            on = np.flatnonzero(n)
+            if len(on):
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(on)), pa.array(asked[lang][on].view(np.int64)), pa.array(n[on])], ["lang", "key", "n"])
+
+    rows = docs.select(F.col("text").cast("string"), F.col("lang").cast("string").alias("lang"))
+    return rows.mapInArrow(count, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+
+
 class Reference:
     """The references as arrays: classes (languages x classes), and the shares of words and the rest that are not zero."""
 

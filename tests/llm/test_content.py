@@ -136,3 +136,11 @@ def test_classifier_reads_text_only():
     m = quality_classifier.train(["good fine words here"] * 30 + ["bad junk junk junk"] * 30, np.array([1] * 30 + [0] * 30))
     s = m.score(pa.array(["good fine words", "junk junk", None, ""]))
     assert s[0] > 0.8 and s[1] < 0.2 and s[2] == s[3]
+
+
+def test_rules_do_not_depend_on_the_partitioning(docs):
+    cols = ("doc_id", "kept", "char_distance", "word_distance")
+    one, many = (sorted((tuple(r[c] for c in cols) for r in quality_rules.quality_rules(docs.repartition(n)).collect()), key=repr) for n in (1, 23))
+    assert len(one) == len(many)
+    for a, b in zip(one, many, strict=True):
+        assert a[:2] == b[:2] and all((x is None and y is None) or abs(x - y) < 1e-9 for x, y in zip(a[2:], b[2:], strict=True))
