@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .pretokens import Keys, byte_slices, classes, padded, pretokens, use_classes
 from .session import bounded_arrow, stored
-from .textkit import U64, cut, flat
+from .textkit import U64, cut, flat, give_back
 from .token_count import byte_alphabet, default_tokenizer, special_string
 
 SHARE = 1e-5
@@ -395,6 +395,7 @@ def encoded(docs: DataFrame, tokenizer: str | None = None, share: float = SHARE,
     bounded_arrow(docs.sparkSession)
     rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).cast("long").alias("doc_id"), *carry)
     name = compile_lexicon(rows, path, share)
+    give_back()
 
     def run(batches):
         use_classes(runs)

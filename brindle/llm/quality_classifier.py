@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import bounded_arrow
-from .textkit import _MASK, U64, _IS_WS, flat, hash_spans, mapper, mix, words
+from .textkit import U64, _IS_WS, _MASK, flat, give_back, hash_spans, mapper, mix, words
 
 MAX_TRAIN, MAX_TRAIN_BYTES = 4000, 32_768
 BUCKETS, DIM, EPOCHS, BATCH, RATE, SEED = 1 << 17, 8, 12, 64, 0.25, 7
@@ -85,7 +85,8 @@ def train(texts: list[str | None], labels: np.ndarray, seed: int = SEED) -> Mode
         key, back = np.unique(np.concatenate(keys), return_inverse=True)
         weight = np.bincount(back, np.concatenate(weights))
         used, local = np.unique(key % BUCKETS, return_inverse=True)
-        batches.append((used, local, key // BUCKETS, weight.astype(np.float32), labels[who]))
+        # nine bytes a feature: the batches are the most that the driver holds
+        batches.append((used, local.astype(np.int32), (key // BUCKETS).astype(np.uint8), weight.astype(np.float32), labels[who]))
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = np.zeros((DIM, 2), np.float32), np.zeros(2, np.float32)
     grown, g_soft, g_bias = np.full(BUCKETS, 1e-6, np.float32), np.full((DIM, 2), 1e-6), np.full(2, 1e-6)
@@ -123,7 +124,12 @@ def fit(docs: DataFrame, labels: DataFrame, limit: int = MAX_TRAIN) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = texts.filter(F.octet_length("text") <= MAX_TRAIN_BYTES).join(F.broadcast(chosen), "_id")
     got = rows.select("_id", "text", F.col("quality").cast("int").alias("y")).orderBy(F.xxhash64("_id"), "_id", "y").limit(limit).collect()
-    return train([r["text"] for r in got], np.array([r["y"] for r in got]))
+    texts, y = [r["text"] for r in got], np.array([r["y"] for r in got])
+    del got
+    model = train(texts, y)
+    del texts
+    give_back()
+    return model
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:

@@ -6,6 +6,7 @@ a string column, so no Python object is made per word.  Nulls are read as empty
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -51,6 +52,13 @@ def cut(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -
         begin = end
 
 
+def give_back() -> None:
+    """Return this process's freed memory to the system, where the C library can."""
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def mapper(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], column: str = "text", limit: int = SLICE_BYTES):
     """A mapInArrow function that applies `fn` to byte-bounded slices."""
 
