@@ -107,3 +107,28 @@ def targets(sizes, weights=(5, 2, 1), cap=3):
         fixed |= {s: cap * sizes[s] for s in over}
         if len(fixed) == len(order):
             return fixed
+
+
+def plain_kd(units, dims, leaves):
+    """units: {key: (weight, {dim: coordinate}, tie)}; the leaf of each by a recursive tree cut at the weighted median."""
+    out = {}
+
+    def split(keys, first, span):
+        if span == 1:
+            out.update(dict.fromkeys(keys, first))
+            return
+        if not keys:
+            return
+        at = lambda k, d: units[k][1][d]
+        d = max(dims, key=lambda d: max(at(k, d) for k in keys) - min(at(k, d) for k in keys))
+        keys = sorted(keys, key=lambda k: (at(k, d), units[k][2]))
+        want, done, n = sum(units[k][0] for k in keys) / 2, 0, 0
+        while n < len(keys) and done + units[keys[n]][0] < want:
+            done, n = done + units[keys[n]][0], n + 1
+        if n < len(keys) and done + units[keys[n]][0] - want < want - done:
+            n += 1
+        split(keys[:n], first, span // 2)
+        split(keys[n:], first + span // 2, span // 2)
+
+    split(list(units), 0, leaves)
+    return out

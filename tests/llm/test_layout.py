@@ -1,9 +1,9 @@
 from collections import defaultdict
 
-from llm_brute import targets, words
+from llm_brute import plain_kd, targets, words
 
 from brindle.llm.mixing import mix, mixed
-from brindle.llm.sharding import kd_shards
+from brindle.llm.sharding import evened, kd_leaves, kd_shards
 
 
 def check_mix(rows, got):
@@ -97,3 +97,58 @@ def test_shards_odd(odd, empty):
     crc = {i: zlib.crc32((t or "").encode()) for i, t in rows if i is not None}
     assert all(r["text_crc32"] == crc[r["doc_id"]] for r in got if r["doc_id"] is not None)
     assert kd_shards(empty).count() == 0
+
+
+def test_tree_equals_a_plain_one(spark):
+    import random
+
+    r = random.Random(4)
+    units = {f"u{i}": (r.randint(1, 900), {"a": r.randint(0, 1 << 20), "b": int(r.random() ** 3 * (1 << 19)), "c": r.randint(0, 3) << 17}, i) for i in range(700)}
+    df = spark.createDataFrame([(k, w, c["a"], c["b"], c["c"], t) for k, (w, c, t) in units.items()], "same string, w long, a long, b long, c long, tie long")
+    for part in (1, 7):
+        got = {x["same"]: x["shard"] for x in kd_leaves(df.repartition(part), ["a", "b", "c"], [1000] * 8).collect()}
+        assert got == plain_kd(units, ["a", "b", "c"], 8)
+
+
+def test_the_tree_decides_nearly_all(spark, monkeypatch):
+    """Moves after the tree touch few bytes, and the loads end within half a percent."""
+    from brindle.llm import sharding
+
+    seen = {}
+
+    def watched(loads, units, slack):
+        moved = evened(loads, units, slack)
+        weight = {k: w for k, w, _ in units}
+        seen["share"] = sum(weight[k] for k in moved) / sum(loads)
+        return moved
+
+    monkeypatch.setattr(sharding, "evened", watched)
+    sizes = defaultdict(int)
+    for r in kd_shards(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect():
+        sizes[r["shard"]] += r["size"]
+    assert seen.get("share", 0) < 0.05
+    assert len(sizes) == 16 and max(sizes.values()) - min(sizes.values()) <= 0.006 * sum(sizes.values()) / 16
+
+
+def test_evened():
+    units = [("a", 40, 0), ("b", 30, 0), ("c", 20, 1), ("d", 10, 1), ("e", 1, 2)]
+    assert evened([500, 70, 30, 1], [], 0) == {}  # nothing can move
+    moved = evened([70, 30, 500], units, 0)  # the third is fixed but for its smallest
+    shard = {k: moved.get(k, s) for k, _, s in units}
+    assert abs(sum(w for k, w, _ in units if shard[k] == 0) - sum(w for k, w, _ in units if shard[k] == 1)) <= 1
+    assert evened([70, 30], [u for u in units if u[2] < 2], 50) == {}
+
+
+def test_shards_of_groups(spark):
+    """A group of half a leaf to a leaf stays whole; one above a leaf, of repeated and null ids, is dealt row by row."""
+    rows = [(i, f"text {i} " * 10) for i in range(2000)]
+    unit = len("group of copies ") * 12 + 1
+    rows += [(5000 + i, "group of copies " * 12) for i in range(90)]
+    rows += [(None if i % 2 else 7, "the hot text " * 15) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' as lang", "'s' as source")
+    got = kd_shards(df).collect()
+    check_shards(rows, got)
+    total = sum(r["size"] for r in got)
+    assert 0.5 < 90 * unit / (total / 16) < 1
+    assert len({r["shard"] for r in got if (r["doc_id"] or 0) >= 5000}) == 1
+    assert len({r["shard"] for r in got if r["doc_id"] in (None, 7)}) > 4
