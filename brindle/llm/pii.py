@@ -1,15 +1,16 @@
 """Personal data: base patterns, and a linear-chain conditional random field over word-shape features.
 
 Base spans come from the patterns for e-mail, IP, card and phone, with their numeric checks.  The field adds spans that
-the patterns miss, such as secrets.  It reads words near one with a digit or an `@` (a chain is a maximal run of words
-within REACH words of such a word); its features are the shapes of a word and of its neighbours.  It is trained on the
-driver by stochastic gradient ascent of the likelihood from the small labelled table made by `labelled_table`, and
-decoded by Viterbi over all chains of a slice at once.  An added span must pass its kind's numeric check, as a whole or
+the patterns miss, such as secrets.  It reads words near one with a digit, an `@` or a cue such as `password` (a chain is
+a maximal run of words within REACH words of such a word); its features are the shapes of a word and of its neighbours,
+and whether a cue stands before it, with a separator or without.  It is trained on the driver by stochastic gradient
+ascent of the likelihood from the small labelled table made by `labelled_table` or given (at most MAX_ROWS rows; more is
+an error), and decoded by Viterbi over all chains of a slice at once.  An added span must pass its kind's numeric check, as a whole or
 else word by word (two cards in a row defeat the pattern, not the field); one that overlaps a base span
-is dropped.
+is dropped, but a secret stays where it holds the whole of each (digits inside a key may pass for a card).
 
-Defined results: null and empty texts have no spans; spans count code points, ends exclusive; texts without digits
-and `@` have no spans; repeated rows are read each; an empty table gives an empty result; other columns are not read.
+Defined results: null and empty texts have no spans; spans count code points, ends exclusive; texts without digits,
+`@` and cues have no spans; repeated rows are read each; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 TAGS = ("O", "email", "ip", "card", "phone", "secret")
 ORDER = {k: i for i, k in enumerate((*KINDS, "secret"))}
 REACH = 2
+MAX_ROWS = 10_000  # of a labelled table; training is on the driver
 
 # ---- base patterns ----------------------------------------------------------------------------------------------------
 
@@ -95,8 +97,22 @@ _SHAPES = tuple(
         r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9_+/-]{20,}", r"(?=.*\d)(?=.*[A-Za-z])[A-Za-z0-9_-]{2,19}", r"[=:]+|=>|:=",
     )
 )
-N_SHAPES, N_SIZES = len(_SHAPES) + 4, 6
-N_FEATURES = 3 * N_SHAPES + N_SIZES + 4
+N_SHAPES, N_SIZES = len(_SHAPES) + 6, 6
+N_FEATURES = 3 * N_SHAPES + N_SIZES + 5
+_BLANK, _CUE, _LETTERS, _MIXED, _CUE_SEP, _PAIR = range(len(_SHAPES), N_SHAPES)
+_SEPARATOR = len(_SHAPES) - 1
+# a name, its separator and the opening marks of a value, as in key, "key": and key="
+_NAMED = re.compile(r"[\"'`(\[{<#*$%&|]*([A-Za-z_]+)[\"']?(:=|=>|[=:]*)[\"'(]*")
+_CUE_BYTES = re.compile("(?:{})(?![a-z_])".format("|".join(sorted(_CUES, key=lambda c: (-len(c), c)))).encode())
+
+
+def named(word: str) -> tuple[bool, bool, int]:
+    """(the word is or begins with a cue, a separator follows it, where the value in the same word begins or 0)."""
+    m = _NAMED.match(word)
+    if not m or m[1].lower() not in _CUES:
+        return False, False, 0
+    value = bool(word[m.end() :].strip(_EDGE))
+    return bool(m[2]) or not value, bool(m[2]), m.end() if value and m[2] else 0
 
 
 def shape(word: str) -> tuple[int, int, bool]:
@@ -105,24 +121,28 @@ def shape(word: str) -> tuple[int, int, bool]:
     size = min(N_SIZES - 1, len(core) // 5)
     quoted = '"' in word or "'" in word
     if not core:
-        return (len(_SHAPES) - 1 if set(word) <= {"=", ":", ">"} else len(_SHAPES)), size, quoted
-    if core.lower().rstrip("=:") in _CUES or core.lower().partition("=")[0] in _CUES:
-        return len(_SHAPES) + 1, size, quoted
+        return (_SEPARATOR if set(word) <= {"=", ":", ">"} else _BLANK), size, quoted
+    cue, separated, value = named(word)
+    if value:
+        return _PAIR, min(N_SIZES - 1, len(word[value:].strip(_EDGE)) // 5), quoted
+    if cue:
+        return (_CUE_SEP if separated else _CUE), size, quoted
     for i, p in enumerate(_SHAPES):
         if p.fullmatch(core):
             return i, size, quoted
-    return len(_SHAPES) + (3 if any(c.isdigit() for c in core) else 2), size, quoted
+    return (_MIXED if any(c.isdigit() for c in core) else _LETTERS), size, quoted
 
 
 def chain_features(chain: list[str]) -> np.ndarray:
     """Words x active features."""
     s = [shape(w) for w in chain]
-    pad = (len(_SHAPES) + 2, 0, False)
+    pad = (_LETTERS, 0, False)
     rows = []
     for i, (k, size, quoted) in enumerate(s):
         before, after = s[i - 1] if i else pad, s[i + 1] if i + 1 < len(s) else pad
         far = s[i - 2] if i > 1 else pad
-        cue = len(_SHAPES) + 1 in (before[0], far[0])
+        cue = int(before[0] in (_CUE, _CUE_SEP) or far[0] in (_CUE, _CUE_SEP))
+        cue += before[0] == _CUE_SEP or (cue and before[0] == _SEPARATOR)
         at = 3 * N_SHAPES
         rows.append((k, N_SHAPES + before[0], 2 * N_SHAPES + after[0], at + size, at + N_SIZES + quoted, at + N_SIZES + 2 + cue))
     return np.array(rows, np.int64).reshape(len(chain), 6)
@@ -199,7 +219,7 @@ def train(table: list[tuple[list[str], list[str]]], epochs: int = 12, rate: floa
     return Field(emit, move)
 
 
-def _made(seed: int = 11, n: int = 240) -> list[tuple[list[str], list[str]]]:
+def _made(seed: int = 11, n: int = 400) -> list[tuple[list[str], list[str]]]:
     """The labelled table: made-up chains of words with tags, and negatives that look alike."""
     r = random.Random(seed)
     word = lambda: "".join(r.choice(("an", "er", "the", "on", "ti", "lo", "que", "ver", "sch", "é")) for _ in range(r.randint(1, 4))) + r.choice(("", "", ",", "."))
@@ -207,20 +227,24 @@ def _made(seed: int = 11, n: int = 240) -> list[tuple[list[str], list[str]]]:
     mark = lambda w: w + r.choice(("", "", "", ",", ".", "###", "&&&"))
 
     def secret():
-        kind = r.randrange(4)
+        kind = r.randrange(6)
         if kind < 2:
             return "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64))))
+        if kind == 4:  # letters only
+            return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(17, 40)))
+        if kind == 5:  # a passphrase
+            return "-".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(4, 8))) for _ in range(r.randint(4, 6)))
         letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "_-" * (kind == 3)
         return "".join(r.choice(letters) for _ in range(r.randint(24, 44))) + digits(2)
 
     rows = []
     for _ in range(n):
-        kind = r.randrange(12)
+        kind = r.randrange(16)
         head = [(word(), "O") for _ in range(r.randint(1, 3))]
         tail = [(word(), "O") for _ in range(r.randint(1, 3))]
         cue = r.choice(("token", "key", "secret", "password", "api_key"))
         if kind == 0:
-            mid = [(cue, "O"), (r.choice(("=", ":")), "O"), (mark(f'"{secret()}"'), "secret")]
+            mid = [(cue, "O"), (r.choice(("=", ":")), "O"), (mark(f"{(q := r.choice(('', chr(34))))}{secret()}{q}"), "secret")]
         elif kind == 1:
             mid = [(f'{cue}{r.choice("=:")}', "O"), (mark(secret()), "secret")]
         elif kind == 2:
@@ -241,6 +265,14 @@ def _made(seed: int = 11, n: int = 240) -> list[tuple[list[str], list[str]]]:
             mid = [(mark(f"{word().strip('.,')}{digits(2)}"), "O"), (mark(f"v{digits(1)}.{digits(1)}"), "O")]
         elif kind == 10:
             mid = [(cue, "O"), (r.choice(("=", ":", "is")), "O"), (mark(digits(r.randint(1, 4))), "O")]
+        elif kind == 11:  # the value in the word of its name
+            mid = [(mark(f'{r.choice((cue, chr(34) + cue + chr(34)))}{r.choice("=:")}{r.choice(("", chr(34)))}{secret()}'), "secret")]
+        elif kind == 12:
+            mid = [(cue, "O"), (r.choice(("=", ":")), "O"), (word()[:14], "O"), (word(), "O")]
+        elif kind == 13:
+            mid = [(f'{cue}{r.choice("=:")}', "O"), (word()[:14], "O"), (word(), "O")]
+        elif kind == 14:  # a cue in prose, and a long word
+            mid = [(cue, "O"), *((x, "O") for x in (r.choice(("is", "was", "the", "of")),) * r.randrange(2)), (word() + word().strip(",.") + word(), "O")]
         else:
             mid = [("@", "O"), (mark(f"@{word().strip('.,')}"), "O"), (mark(f"{digits(3)},{digits(3)}"), "O")]
         rows.append([*head, *mid, *tail])
@@ -283,15 +315,19 @@ class Finder:
         text = buf[: off[-1]]
         hot = ((text >= 48) & (text <= 57)) | (text == 64)
         out: list[tuple[list, list]] = [([], [])] * (len(off) - 1)
-        some = np.flatnonzero(counts_by(off, hot))
+        raw = buf.tobytes()
+        low = raw[: len(text)].lower()
+        cues = [m.start() for m in _CUE_BYTES.finditer(low) if not (m.start() and (low[m.start() - 1 : m.start()].isalpha() or low[m.start() - 1] == 95))]
+        at_cues = np.array(cues, np.int64)
+        some = np.union1d(np.flatnonzero(counts_by(off, hot)), np.searchsorted(off, at_cues, side="right") - 1)
         if not len(some):
             return out
         lead = np.zeros(len(text) + 1, np.int64)
         np.cumsum((text & 0xC0) != 0x80, out=lead[1:])
         cum = np.zeros(len(text) + 1, np.int64)
         np.cumsum(hot, out=cum[1:])
-        hot_words = np.flatnonzero(cum[ends] - cum[starts])
-        raw, chains, places = buf.tobytes(), [], []
+        hot_words = np.union1d(np.flatnonzero(cum[ends] - cum[starts]), np.searchsorted(starts, at_cues, side="right") - 1)
+        chains, places = [], []
         doc = np.searchsorted(wb, hot_words, side="right") - 1
         i = 0
         while i < len(hot_words):
@@ -314,16 +350,18 @@ class Finder:
                     kind, base = TAGS[tags[t]], lead[off[d]]
                     for f, g in ((t, e), *((k, k + 1) for k in range(t, e) if e - t > 1)):  # whole, or else its words
                         first, last = chain[f], chain[g - 1]
-                        lo = int(lead[starts[a + f]] - base) + len(first) - len(first.lstrip(_INNER))
+                        skip = named(first)[2] if kind == "secret" else 0
+                        first = first[skip:]
+                        lo = int(lead[starts[a + f]] - base) + skip + len(first) - len(first.lstrip(_INNER))
                         hi = int(lead[ends[a + g - 1]] - base) - (len(last) - len(last.rstrip(_EDGE)))
-                        if hi > lo and plausible(kind, " ".join(chain[f:g]).lstrip(_INNER).rstrip(_EDGE)):
+                        if hi > lo and plausible(kind, " ".join(chain[f:g])[skip:].lstrip(_INNER).rstrip(_EDGE)):
                             added.setdefault(d, []).append((lo, hi, kind))
                             if (f, g) == (t, e):
                                 break
                 t = e
         for d in some.tolist():
             own = base_spans(raw[off[d] : off[d + 1]].decode())
-            extra = [s for s in added.get(d, []) if not any(s[0] < b and a < s[1] for a, b, _ in own)]
+            extra = [s for s in added.get(d, []) if all(b <= s[0] or s[1] <= a or s[0] <= a and b <= s[1] and s[2] == "secret" for a, b, _ in own)]
             out[d] = own, sorted(own + extra, key=lambda s: (s[0], ORDER[s[2]]))
         return out
 
@@ -332,11 +370,14 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-def personal_data(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def personal_data(docs: DataFrame, table: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_ROWS) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans, n_added of every row."""
     spark = docs.sparkSession
     bounded_arrow(spark)
-    rows = [(list(r[0]), list(r[1])) for r in (table if table is not None else labelled_table(spark)).select("words", "tags").limit(10_000).collect()]
+    found = (table if table is not None else labelled_table(spark)).select("words", "tags").limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        raise ValueError(f"the labelled table has over {max_rows} rows; training is on the driver")
+    rows = sorted((list(r[0]), list(r[1])) for r in found if r[0] and r[1])
     finder = Finder(train(rows))
 
     def one(piece: pa.RecordBatch) -> pa.RecordBatch:
