@@ -240,8 +240,8 @@ def _made(seed: int = 11, n: int = 400) -> list[tuple[list[str], list[str]]]:
     rows = []
     for _ in range(n):
         kind = r.randrange(16)
-        head = [(word(), "O") for _ in range(r.randint(1, 3))]
-        tail = [(word(), "O") for _ in range(r.randint(1, 3))]
+        head = [(word(), "O") for _ in range(r.randint(0, 3))]
+        tail = [(word(), "O") for _ in range(r.randint(0, 3))]
         cue = r.choice(("token", "key", "secret", "password", "api_key"))
         if kind == 0:
             mid = [(cue, "O"), (r.choice(("=", ":")), "O"), (mark(f"{(q := r.choice(('', chr(34))))}{secret()}{q}"), "secret")]
@@ -317,8 +317,10 @@ class Finder:
         out: list[tuple[list, list]] = [([], [])] * (len(off) - 1)
         raw = buf.tobytes()
         low = raw[: len(text)].lower()
-        cues = [m.start() for m in _CUE_BYTES.finditer(low) if not (m.start() and (low[m.start() - 1 : m.start()].isalpha() or low[m.start() - 1] == 95))]
-        at_cues = np.array(cues, np.int64)
+        at_cues = np.array([m.start() for m in _CUE_BYTES.finditer(low)], np.int64)
+        before = text[np.maximum(at_cues - 1, 0)] | 32
+        joined_on = ((before >= 97) & (before <= 122)) | (before == 127)  # a letter or _ in the same text
+        at_cues = at_cues[~joined_on | np.isin(at_cues, off[:-1])]
         some = np.union1d(np.flatnonzero(counts_by(off, hot)), np.searchsorted(off, at_cues, side="right") - 1)
         if not len(some):
             return out
