@@ -107,7 +107,7 @@ class Engine:
         extra = {f: c.script(s["script"]) for f, s in (body.get("script_fields") or {}).items()}
         keys = [self._key(c, s) for s in sort]
         tie = F.col(ix.id_col) if ix.id_col else None
-        df = c.df.withColumns({"_score": score.cast("double"), "_match": pred, **extra, **{f"_sort{i}": k.cast("double") if str(n) == "_geo" else k for i, (k, _, _, n) in enumerate(keys) if n != "_score"}})
+        df = c.df.withColumns({"_score": score.cast("double"), "_match": pred, **extra, **{f"inner_hits_{n}": v for n, v in c.inner.items()}, **{f"_sort{i}": k.cast("double") if str(n) == "_geo" else k for i, (k, _, _, n) in enumerate(keys) if n != "_score"}})
         if c.named:
             df = df.withColumn("matched_queries", F.filter(F.array(*(F.when(p, F.lit(n)) for n, p in c.named.items())), lambda x: x.isNotNull()))
         if second is not None:
@@ -146,7 +146,7 @@ class Engine:
         inc, exc = spec.get("includes", spec.get("include", ["*"])), spec.get("excludes", spec.get("exclude", []))
         like = lambda n, ps: any(re.fullmatch(re.escape(p).replace(r"\*", ".*"), n) for p in ps)
         own = set(body.get("script_fields") or {}) | {"_score", "matched_queries"}
-        return [n for n in df.columns if n in own or (like(n, inc) and not like(n, exc))]
+        return [n for n in df.columns if n in own or n.startswith("inner_hits_") or (like(n, inc) and not like(n, exc))]
 
     def _key(self, c: QueryCompiler, spec) -> tuple[Column, bool, bool, str]:
         name, o = (spec, {}) if isinstance(spec, str) else next(iter(spec.items()))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import operator
+import re
 from dataclasses import dataclass
 from typing import Any
 
@@ -23,6 +24,9 @@ METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats",
 PIPES = {"cumulative_sum", "derivative", "serial_diff", "moving_fn", "moving_avg", "bucket_script", "bucket_selector", "bucket_sort"}
 SIBLINGS = {"avg_bucket", "sum_bucket", "min_bucket", "max_bucket", "stats_bucket", "extended_stats_bucket", "percentiles_bucket"}
 MAX_BUCKETS = 65_535  # of one histogram, empty ones included; more is an error
+# the scripts of a scripted_metric that sums: what a row adds to the state, and a loop over states or a plain return
+_ADDS = re.compile(r"state\.(\w+)\s*(?:\.add\((?P<item>.*)\)|\+=\s*(?P<term>.*?))\s*;?", re.S)
+_SUMS = re.compile(r"return (?:state\.\w+|states\.sum\(\));?|(?:double|long|int|float|def) (\w+) = 0(?:\.0)?;? ?for ?\((?:\w+ )?(\w+) ?(?:in|:) ?(?:states|state\.\w+)\) ?\{ ?\1 \+= \2;? ?\} ?return \1;?")
 PERCENTS = (1, 5, 25, 50, 75, 95, 99)
 
 
@@ -64,7 +68,7 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
 class AggCompiler:
     def __init__(self, compiler, df: DataFrame, index):
         self.c, self.df, self.index = compiler, df, index
-        self.sizes: list[tuple] = []
+        self.root, self.keys = compiler, []
 
     def value(self, spec: dict) -> Column:
         v = self.c.script(spec["script"]) if "script" in spec and "field" not in spec else self.c.col(spec["field"])
@@ -97,6 +101,8 @@ class AggCompiler:
 
             best = F.slice(F.array_sort(F.collect_list(hit), compare), 1 + int(s.get("from", 0)), n)
             return {name: F.transform(best, lambda h: h["hit"])}
+        if kind == "scripted_metric":
+            return {name: self.scripted(name, s)}
         v = self.value(s)
         if kind == "geo_bounds":
             return {f"{name}_{k}": f(v[x]) for k, f, x in (("top", F.max, "lat"), ("bottom", F.min, "lat"), ("left", F.min, "lon"), ("right", F.max, "lon"))}
@@ -121,6 +127,15 @@ class AggCompiler:
             out |= {f"{name}_{k}": x for k, x in {"sum_of_squares": F.sum(d * d), "variance": F.var_pop(d), "variance_sampling": F.var_samp(d), "std_deviation": F.stddev_pop(d), "std_deviation_sampling": F.stddev_samp(d), **mean_bounds(d, float(s.get("sigma", 2)))}.items()}
         return out
 
+    def scripted(self, name: str, s: dict) -> Column:
+        """Scripts that sum an expression of each row; others are an error."""
+        source = lambda k: s[k]["source"] if isinstance(s.get(k), dict) else s.get(k, "")
+        adds = _ADDS.fullmatch(source("map_script").strip())
+        if not adds or not all(_SUMS.fullmatch(re.sub(r"\s+", " ", source(k)).strip()) for k in ("combine_script", "reduce_script")):
+            raise ValueError(f"[{name}]: only scripts that sum an expression of each row are compiled")
+        total = F.sum(self.c.script({"source": adds["item"] or adds["term"], "params": s.get("params", {})}).cast("double"))
+        return F.coalesce(total, F.lit(0.0))
+
     def matrix(self, name: str, s: dict) -> dict[str, Column]:
         """Over documents that hold every field."""
         cols = {f: self.c.col(f).cast("double") for f in s["fields"]}
@@ -214,7 +229,17 @@ class AggCompiler:
             f = geo.geohash(self.c.col(s["field"]), s.get("precision", 5)) if kind == "geohash_grid" else geo.geotile(self.c.col(s["field"]), s.get("precision", 7))
             return df.filter(self.c.col(s["field"]).isNotNull()).withColumn(name, f), [name]
         if kind == "nested":
-            return df.withColumn(f"__{s['path']}", F.explode(self.c.col(s["path"]))).withColumn(name, F.lit(s["path"])), [name]
+            doc = F.col(self.index.id_col) if self.index.id_col else F.monotonically_increasing_id()
+            df = df if "__doc" in df.columns else df.withColumn("__doc", doc)
+            at = f"__{s['path']}"
+            df = df.withColumn(at, F.explode(self.c.col(s["path"]))).withColumn(name, F.lit(s["path"]))
+            self.c.element, self.c.element_path = F.col(at), s["path"]  # levels below read the objects
+            return df, [name]
+        if kind == "reverse_nested":
+            self.c.element, self.c.element_path = None, ""
+            return df.dropDuplicates([*self.keys, "__doc"]).withColumn(name, F.lit("root")), [name]
+        if kind in ("children", "parent"):
+            return self.related(df, name, kind, s)
         if kind == "global":
             return self.index.df.withColumn(name, F.lit("global")), [name]
         if kind == "auto_date_histogram":
@@ -227,6 +252,28 @@ class AggCompiler:
             return df.orderBy(key).limit(int(s.get("shard_size", 100))).withColumn(name, F.lit("sample")), [name]
         raise ValueError(f"unknown aggregation [{kind}]")
 
+    def related(self, df: DataFrame, name: str, kind: str, s: dict) -> tuple[DataFrame, list[str]]:
+        """Children of the bucket's parents, or the distinct parents of its children: by the index's join field, or in
+        `index`, whose (or this one's) `parent_field` holds the `id_field` of the parent."""
+        down, ix = kind == "children", self.c.engine.index(s["index"]) if "index" in s else self.index
+        other = self.c.engine.compiler(ix, scoring=False)
+        rows = other.df
+        if "index" in s:
+            mine, theirs = s["id_field" if down else "parent_field"], s["parent_field" if down else "id_field"]
+        else:
+            rel = self.c._join_field()
+            mine, theirs = ("_id", f"{rel}.parent") if down else (f"{rel}.parent", "_id")
+            if down:
+                rows = rows.filter(other.col(f"{rel}.name") == s["type"])
+            else:
+                df = df.filter(self.c.col(f"{rel}.name") == s["type"])
+        if clash := sorted(set(self.keys) & set(rows.columns)):
+            raise ValueError(f"bucket names {clash} are columns of [{ix.name}]")
+        left = df.select(*self.keys, self.c.col(mine).cast("string").alias("__mine")).filter("__mine IS NOT NULL")
+        out = (left if down else left.distinct()).join(rows.withColumn("__theirs", other.col(theirs).cast("string")), F.col("__mine") == F.col("__theirs"))
+        self.c = other
+        return out.drop("__mine", "__theirs").withColumn(name, F.lit(s.get("type", ix.name))), [name]
+
     def listed(self, c: Column, spec: Any) -> Column:
         if isinstance(spec, dict):
             return F.pmod(F.xxhash64(c), F.lit(spec["num_partitions"])) == spec["partition"]
@@ -291,7 +338,10 @@ class AggCompiler:
         if not chain:
             return self.grouped(self.df, [], top).drop("doc_count")
         df, keys, out, uppers = self.df, [], None, []
+        self.c = self.root
+        self.c.element, self.c.element_path = None, ""
         for k, level in enumerate(chain):
+            self.keys = keys
             df, own = self.bucket(df, level.name, level.kind, level.spec)
             parents, keys = keys, [*keys, *own]
             metrics, pipes = level.of(METRICS), level.of(PIPES)

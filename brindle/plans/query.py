@@ -14,7 +14,7 @@ import re
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, positions, scoring, vectors
@@ -63,11 +63,33 @@ def _one(spec: dict, key: str) -> tuple[str, dict[str, Any]]:
     return name, out
 
 
+def _order(inner: dict) -> list[tuple[str, bool]]:
+    """(field, descending) of the sort of inner hits."""
+    spec = inner.get("sort", [])
+    pairs = [(k, "asc") if isinstance(k, str) else next(iter(k.items())) for k in (spec if isinstance(spec, list) else [spec])]
+    return [(k, (o if isinstance(o, str) else o.get("order", "asc")) == "desc") for k, o in pairs]
+
+
+def _best(objects: Column, keys: list[tuple[str, bool]], inner: dict) -> Column:
+    """The first objects of an array by the keys, nulls last; without keys in the order of the array."""
+
+    def compare(a: Column, b: Column) -> Column:
+        out = F.lit(0)
+        for k, down in reversed(keys):
+            x, y, sign = a.getField(k), b.getField(k), -1 if down else 1
+            both = F.when(x.isNull() & y.isNull(), out).when(x.isNull(), 1).when(y.isNull(), -1)
+            out = both.when(x < y, -sign).when(x > y, sign).otherwise(out)
+        return out
+
+    return F.slice(F.array_sort(objects, compare) if keys else objects, 1 + int(inner.get("from", 0)), int(inner.get("size", 3)))
+
+
 class QueryCompiler:
     def __init__(self, df: DataFrame, mapping: Mapping, id_col: str | None = None, engine=None, analyzers: Analyzers | None = None, scoring: bool = True, now=None):
         self.df, self.mapping, self.id_col, self.engine = df, mapping, id_col, engine
         self.analyzers, self.scoring, self.now = analyzers or Analyzers(), scoring, now
         self.named: dict[str, Column] = {}
+        self.inner: dict[str, Column] = {}  # inner hits by name
         self.n_flags = 0
         self._stats: dict[str, tuple] = {}
         self.element: Column | None = None  # inside `nested`: the object
@@ -81,7 +103,7 @@ class QueryCompiler:
             return self.element.getField(name[len(self.element_path) + 1 :])
         head, _, tail = name.rpartition(".")
         f = self.mapping.get(head) if head else None
-        if f is not None and f.kind not in ("object", "nested") and tail in f.properties:
+        if f is not None and f.kind not in ("object", "nested", "join") and tail in f.properties:
             return self.col(head)  # a multi-field has its parent's value
         if f is not None and f.kind == "flat_object":
             return F.try_element_at(self.col(head), F.lit(tail))
@@ -665,6 +687,8 @@ class QueryCompiler:
             return holder[-1].pred
 
         pred = F.coalesce(F.exists(c, test), F.lit(False))
+        if (i := s.get("inner_hits")) is not None:
+            self.inner[i.get("name", path)] = _best(F.filter(c, test), [(k.removeprefix(f"{path}."), d) for k, d in _order(i)], i)
         mode = s.get("score_mode", "avg")
         if mode == "none" or not self.scoring:
             return Compiled(pred, F.lit(0.0))
@@ -695,10 +719,19 @@ class QueryCompiler:
             got = sub.compile({"bool": {"filter": [{"term": {f"{rel}.name": s["type"]}}], "must": [s.get("query") or {"match_all": {}}]}})
             kids = sub.df.filter(got.pred).withColumn("_score", got.score)
             key, mine = F.col(f"{rel}.parent"), self.col("_id")
-        found = kids.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), *(f("_score").alias(n) for n, f in (("max", F.max), ("min", F.min), ("sum", F.sum), ("avg", F.avg))))
+        i, hits = s.get("inner_hits"), []
+        if i is not None:  # ranked by a window on the key that the groupBy below shares
+            by = [F.col(k).desc_nulls_last() if d else F.col(k).asc_nulls_last() for k, d in _order(i) or [("_score", True)]]
+            hit = F.struct("_at", F.struct(*(c for c in kids.columns if c != "_score")).alias("hit"))
+            kids = kids.withColumn("_at", F.row_number().over(Window.partitionBy(key).orderBy(*by)) - int(i.get("from", 0)))
+            ranked = F.array_sort(F.collect_list(F.when(F.col("_at").between(1, int(i.get("size", 3))), hit)))
+            hits = [F.transform(ranked, lambda h: h["hit"]).alias("hits")]
+        found = kids.groupBy(key.alias("k")).agg(F.count(F.lit(1)).alias("n"), *hits, *(f("_score").alias(n) for n, f in (("max", F.max), ("min", F.min), ("sum", F.sum), ("avg", F.avg))))
         found = found.filter(F.col("n").between(s.get("min_children", 1), s.get("max_children", 2**31 - 1)))
         mode = s.get("score_mode", "none")
-        flag = self._flag(mine, found, "k", {} if mode == "none" else {"s": F.col(mode)})
+        flag = self._flag(mine, found, "k", ({} if mode == "none" else {"s": F.col(mode)}) | ({"hits": F.col("hits")} if hits else {}))
+        if hits:
+            self.inner[i.get("name", s.get("type", s.get("index")))] = F.col(f"__flag{self.n_flags}_hits")
         return Compiled(flag, F.lit(1.0) if mode == "none" else F.coalesce(F.col(f"__flag{self.n_flags}_s"), F.lit(0.0)))
 
     def q_has_parent(self, s):

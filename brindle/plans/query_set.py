@@ -102,8 +102,9 @@ register("terms_lookup_semi", "orders customer", found("orders", {"terms": {"o_c
 register("has_child", "orders lineitem", found("orders", {"has_child": {"index": "lineitem", "parent_field": "l_orderkey", "id_field": "o_orderkey", "min_children": 3, "query": {"range": {"l_quantity": {"gt": 25}}}}}, "o_orderkey"), "SELECT l_orderkey AS o_orderkey FROM lineitem WHERE l_quantity > 25 AND l_orderkey IN (SELECT o_orderkey FROM orders) GROUP BY 1 HAVING count(*) >= 3")
 register("has_parent", "lineitem orders", found("lineitem", {"has_parent": {"index": "orders", "id_field": "o_orderkey", "parent_field": "l_orderkey", "query": {"term": {"o_orderstatus": "P"}}}}, "l_orderkey", "l_linenumber"), "SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')")
 register("anti_join", "customer orders", found("customer", {"bool": {"must_not": [{"has_child": {"index": "orders", "parent_field": "o_custkey", "id_field": "c_custkey", "query": {"match_all": {}}}}]}}, "c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
-register("children_agg", "orders lineitem", lambda e: rounded(e.filtered("orders", {"term": {"o_orderstatus": "F"}}).join(e.index("lineitem").df, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("doc_count"), F.sum("l_quantity").alias("qty"))), "SELECT l_returnflag, count(*) AS doc_count, round(sum(l_quantity), 4) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
-register("parent_agg", "orders lineitem", lambda e: e.filtered("orders", {"has_child": {"index": "lineitem", "parent_field": "l_orderkey", "id_field": "o_orderkey", "query": {"term": {"l_returnflag": "R"}}}}).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("doc_count")), "SELECT o_orderstatus, count(*) AS doc_count FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
+register("children_agg", "orders lineitem", lambda e: rounded(e.aggregate("orders", {"query": {"term": {"o_orderstatus": "F"}}, "aggs": {"lines": {"children": {"index": "lineitem", "parent_field": "l_orderkey", "id_field": "o_orderkey"}, "aggs": {"flag": {"terms": {"field": "l_returnflag"}, "aggs": {"qty": {"sum": {"field": "l_quantity"}}}}}}}})).drop("lines").withColumnRenamed("flag", "l_returnflag"), "SELECT l_returnflag, count(*) AS doc_count, round(sum(l_quantity), 4) AS qty FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY 1")
+register("children_under_terms", "orders lineitem", lambda e: rounded(e.aggregate("orders", {"aggs": {"status": {"terms": {"field": "o_orderstatus"}, "aggs": {"lines": {"children": {"index": "lineitem", "parent_field": "l_orderkey", "id_field": "o_orderkey"}, "aggs": {"most": {"max": {"field": "l_quantity"}}}}}}}})), "SELECT o_orderstatus AS status, 'lineitem' AS lines, count(*) AS doc_count, round(max(l_quantity), 4) AS most FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1")
+register("parent_agg", "orders lineitem", lambda e: e.aggregate("lineitem", {"query": {"term": {"l_returnflag": "R"}}, "aggs": {"up": {"parent": {"index": "orders", "parent_field": "l_orderkey", "id_field": "o_orderkey"}, "aggs": {"status": {"terms": {"field": "o_orderstatus"}}}}}}).drop("up").withColumnRenamed("status", "o_orderstatus"), "SELECT o_orderstatus, count(*) AS doc_count FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') GROUP BY 1")
 
 
 def _nested(e):
@@ -114,8 +115,11 @@ def _nested(e):
 
 _NQ = {"nested": {"path": "lines", "query": {"bool": {"must": [{"range": {"lines.l_quantity": {"gte": 45}}}, {"term": {"lines.l_returnflag": "R"}}]}}}}
 register("nested_exists", "lineitem", lambda e: _nested(e).filtered("order_docs", _NQ).select("l_orderkey"), "SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R'")
-register("nested_agg", "lineitem", lambda e: rounded(_nested(e).index("order_docs").df.select(F.inline("lines")).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("doc_count"), F.avg("l_quantity").alias("avg_qty"))), "SELECT l_returnflag, count(*) AS doc_count, round(avg(l_quantity), 4) AS avg_qty FROM lineitem GROUP BY 1")
-register("inner_hits_top1", "lineitem", lambda e: e.index("lineitem").df.groupBy("l_orderkey").agg(F.max("l_extendedprice").alias("top_price")), "SELECT l_orderkey, max(l_extendedprice) AS top_price FROM lineitem GROUP BY 1")
+register("nested_agg", "lineitem", lambda e: rounded(_nested(e).aggregate("order_docs", {"aggs": {"in_lines": {"nested": {"path": "lines"}, "aggs": {"flag": {"terms": {"field": "lines.l_returnflag"}, "aggs": {"avg_qty": {"avg": {"field": "lines.l_quantity"}}}}}}}})).drop("in_lines").withColumnRenamed("flag", "l_returnflag"), "SELECT l_returnflag, count(*) AS doc_count, round(avg(l_quantity), 4) AS avg_qty FROM lineitem GROUP BY 1")
+register("reverse_nested", "lineitem", lambda e: _nested(e).aggregate("order_docs", {"aggs": {"in_lines": {"nested": {"path": "lines"}, "aggs": {"flag": {"terms": {"field": "lines.l_returnflag"}, "aggs": {"orders": {"reverse_nested": {}, "aggs": {"last": {"max": {"field": "l_orderkey"}}}}}}}}}}).drop("in_lines", "orders"), "SELECT l_returnflag AS flag, count(DISTINCT l_orderkey) AS doc_count, max(l_orderkey) AS last FROM lineitem GROUP BY 1")
+register("inner_hits_top1", "lineitem", lambda e: _nested(e).search("order_docs", {"query": {"nested": {"path": "lines", "query": {"match_all": {}}, "inner_hits": {"size": 1, "sort": [{"lines.l_extendedprice": "desc"}]}}}, "sort": ["l_orderkey"], "size": None}).select("l_orderkey", F.col("inner_hits_lines")[0]["l_extendedprice"].alias("top_price")), "SELECT l_orderkey, max(l_extendedprice) AS top_price FROM lineitem GROUP BY 1")
+register("inner_hits_filtered", "lineitem", lambda e: _nested(e).search("order_docs", {"query": {"nested": {**_NQ["nested"], "inner_hits": {"name": "best", "size": 2, "sort": [{"lines.l_extendedprice": "desc"}]}}}, "sort": ["l_orderkey"], "size": None}).select("l_orderkey", F.explode("inner_hits_best").alias("h")).select("l_orderkey", F.col("h.l_extendedprice").alias("price")), "SELECT l_orderkey, l_extendedprice AS price FROM lineitem WHERE l_quantity >= 45 AND l_returnflag = 'R' QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC) <= 2")
+register("inner_hits_child", "orders lineitem", lambda e: e.search("orders", {"query": {"has_child": {"index": "lineitem", "parent_field": "l_orderkey", "id_field": "o_orderkey", "query": {"term": {"l_returnflag": "R"}}, "inner_hits": {"size": 2, "from": 1, "sort": [{"l_extendedprice": "desc"}, {"l_linenumber": "asc"}]}}}, "sort": ["o_orderkey"], "size": None}).select("o_orderkey", F.explode("inner_hits_lineitem").alias("h")).select("o_orderkey", F.col("h.l_linenumber").alias("line"), F.col("h.l_extendedprice").alias("price")), "SELECT l_orderkey AS o_orderkey, l_linenumber AS line, l_extendedprice AS price FROM lineitem WHERE l_returnflag = 'R' AND l_orderkey IN (SELECT o_orderkey FROM orders) QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) BETWEEN 2 AND 3")
 _RULES = {"big": {"range": {"value": {"gt": 50}}}, "clicks": {"term": {"event_type": "click"}}, "costly": {"bool": {"must": [{"term": {"event_type": "purchase"}}, {"range": {"value": {"gte": 20}}}]}}}
 register("percolate", "events", lambda e: percolate.percolate(e.index("events").df, _RULES).select("rule", "event_id"), "SELECT 'big' AS rule, event_id FROM events WHERE value > 50 UNION ALL SELECT 'clicks', event_id FROM events WHERE event_type = 'click' UNION ALL SELECT 'costly', event_id FROM events WHERE event_type = 'purchase' AND value >= 20")
 
@@ -138,7 +142,8 @@ metric("cardinality_approx", "orders", {"n": {"cardinality": {"field": "o_custke
 metric("weighted_avg", "lineitem", {"w": {"weighted_avg": {"value": {"field": "l_extendedprice"}, "weight": {"field": "l_quantity"}}}}, "SELECT round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 4) AS w FROM lineitem")
 metric("matrix_stats", "lineitem", {"m": {"matrix_stats": {"fields": ["l_quantity", "l_discount"]}}}, "SELECT count(*) AS m_count, round(avg(l_quantity), 4) AS m_l_quantity_mean, round(var_samp(l_quantity), 4) AS m_l_quantity_variance, round(avg(l_discount), 4) AS m_l_discount_mean, round(var_samp(l_discount), 4) AS m_l_discount_variance, round(covar_samp(l_quantity, l_discount), 4) AS m_l_quantity_l_discount_covariance, round(corr(l_quantity, l_discount), 4) AS m_l_quantity_l_discount_correlation, " + ", ".join(f"round(sum(pow({c} - a{c}, 3)) / count(*) / pow(var_pop({c}), 1.5), 4) AS m_{c}_skewness, round(sum(pow({c} - a{c}, 4)) / count(*) / pow(var_pop({c}), 2), 4) AS m_{c}_kurtosis" for c in ("l_quantity", "l_discount")) + " FROM lineitem, (SELECT avg(l_quantity) AS al_quantity, avg(l_discount) AS al_discount FROM lineitem)")
 register("top_hits", "orders", lambda e: e.aggregate("orders", {"aggs": {"o_orderstatus": {"terms": {"field": "o_orderstatus"}, "aggs": {"best": {"top_hits": {"size": 2, "sort": [{"o_totalprice": "desc"}, {"o_orderkey": "asc"}], "_source": ["o_orderkey"]}}}}}}).select("o_orderstatus", F.explode("best").alias("h")).select("o_orderstatus", "h.o_orderkey"), "SELECT o_orderstatus, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2")
-register("scripted_metric", "lineitem", lambda e: rounded(e.index("lineitem").df.agg(F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_extendedprice")).otherwise(F.col("l_extendedprice"))).alias("profit")), 2), "SELECT round(sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END), 2) AS profit FROM lineitem")
+_LOOP = "double t = 0; for (x in {}) {{ t += x }} return t"
+register("scripted_metric", "lineitem", lambda e: rounded(e.aggregate("lineitem", {"aggs": {"profit": {"scripted_metric": {"init_script": "state.sales = []", "map_script": "state.sales.add(doc['l_returnflag'].value == 'R' ? -1 * doc['l_extendedprice'].value : doc['l_extendedprice'].value)", "combine_script": _LOOP.format("state.sales"), "reduce_script": _LOOP.format("states")}}}}), 2), "SELECT round(sum(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END), 2) AS profit FROM lineitem")
 
 # ---- buckets ----------------------------------------------------------------------------------------------------------
 
