@@ -5,6 +5,7 @@ Everything but stemming is made of built-in functions, so analysis stays inside
 
 from __future__ import annotations
 
+import html.entities
 import unicodedata
 from collections.abc import Callable
 from typing import Any
@@ -86,14 +87,29 @@ def tokenizer(name: str, c: Column, o: dict[str, Any]) -> Column:
     raise ValueError(f"unknown tokenizer {name!r}")
 
 
+def entities(c: Column) -> Column:
+    """Named and numeric character references as their characters; those of `&` last, so that nothing is decoded twice."""
+    table = {**html.entities.name2codepoint, "apos": 39, "nbsp": 32}
+    chars = F.create_map(*(F.lit(x) for n, p in table.items() for x in (n, chr(p))))
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(r"&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);"), 1))
+
+    def value(e: Column) -> Column:
+        point = F.when(e.rlike("^#[xX]"), F.conv(F.substr(e, F.lit(3)), 16, 10)).when(e.startswith("#"), F.substr(e, F.lit(2))).cast("long")
+        valid = point.between(1, 0x10FFFF) & ~point.between(0xD800, 0xDFFF)
+        return F.when(valid, F.decode(F.unhex(F.lpad(F.hex(point), 8, "0")), "UTF-32")).when(~e.startswith("#"), F.try_element_at(chars, e))
+
+    pairs = F.transform(found, lambda e: F.struct(F.concat(F.lit("&"), e, F.lit(";")).alias("old"), value(e).alias("new")))
+    pairs = F.filter(pairs, lambda p: p["new"].isNotNull())
+    ordered = F.concat(F.filter(pairs, lambda p: p["new"] != "&"), F.filter(pairs, lambda p: p["new"] == "&"))
+    return F.when(c.contains("&"), F.aggregate(ordered, c, lambda s, p: F.replace(s, p["old"], p["new"]))).otherwise(c)
+
+
 def char_filter(name: str, c: Column, o: dict[str, Any]) -> Column:
     if name == "html_strip":
         c = F.regexp_replace(c, r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
         c = F.regexp_replace(c, r"(?i)</?(p|div|br|li|ul|ol|h[1-6]|tr|table)[^>]*>", "\n")
         c = F.regexp_replace(c, r"(?s)<!--.*?-->|<[^>]*>", "")
-        for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-            c = F.replace(c, F.lit(a), F.lit(b))
-        return c
+        return entities(c)
     if name == "mapping":
         for m in o["mappings"]:
             a, _, b = m.partition("=>")

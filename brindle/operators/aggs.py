@@ -462,6 +462,8 @@ class AggCompiler:
         order = order if isinstance(order, list) else [order]
         cols = [(F.col({"_count": "doc_count", "_key": own[0]}.get(k, k.replace(".", "_"))), v) for o in order for k, v in o.items()]
         sort = [c.desc() if v == "desc" else c.asc() for c, v in cols] + [F.col(k).asc() for k in own]
+        if s.get("size", 10) is None:  # all buckets
+            return out
         if not parents:
             return out.orderBy(*sort).limit(int(s.get("size", 10)))
         w = Window.partitionBy(*parents).orderBy(*sort)

@@ -52,6 +52,11 @@ flt("text_prefix", {"prefix": {"text": "wa"}}, f"len(list_filter({TOK}, lambda x
 flt("match_part_name", {"match": {"p_name": "red"}}, "list_contains(string_split(lower(p_name), ' '), 'red')", "part", ("p_partkey", "p_name"))
 flt("multi_match", {"multi_match": {"query": "the", "fields": ["text", "lang"]}}, f"list_contains({TOK}, 'the') OR lang = 'the'", "documents", D)
 flt("simple_query_string", {"simple_query_string": {"query": "the +of -and", "fields": ["text"], "default_operator": "and"}}, f"list_contains({TOK}, 'the') AND list_contains({TOK}, 'of') AND NOT list_contains({TOK}, 'and')", "documents", D)
+_LINE = f"' ' || array_to_string(list_filter({TOK}, lambda x: x <> ''), ' ') || ' '"
+_RX = {
+    "phrase_slop": " the ([^ ]+ ){0,2}of | of the ", "phrase_prefix": " of th", "match_bool_prefix": " the | riv", "span_near": " the ([^ ]+ ){0,3}of ",
+    "span_first": "^ ([^ ]+ ){0,2}the ", "span_not": " the ", "intervals_ordered": " the ([^ ]+ ){0,4}of ", "combined_fields": " the | river ",
+}
 for _name, _q in {
     "phrase_slop": {"match_phrase": {"text": {"query": "the of", "slop": 2}}}, "phrase_prefix": {"match_phrase_prefix": {"text": "of th"}},
     "match_bool_prefix": {"match_bool_prefix": {"text": "the riv"}}, "span_near": {"span_near": {"clauses": [{"span_term": {"text": "the"}}, {"span_term": {"text": "of"}}], "slop": 3, "in_order": True}},
@@ -59,7 +64,12 @@ for _name, _q in {
     "intervals_ordered": {"intervals": {"text": {"match": {"query": "the of", "max_gaps": 4, "ordered": True}}}}, "more_like_this": {"more_like_this": {"fields": ["text"], "like": [{"_id": "1"}], "min_term_freq": 1, "max_query_terms": 8}},
     "combined_fields": {"combined_fields": {"query": "the river", "fields": ["text"]}}, "common_terms": {"common": {"text": {"query": "the river", "cutoff_frequency": 0.5}}},
 }.items():
-    register(_name, "documents", found("documents", _q, "doc_id"))
+    register(_name, "documents", found("documents", _q, "doc_id"), f"SELECT doc_id FROM documents WHERE regexp_matches({_LINE}, '{_RX[_name]}')" if _name in _RX else None)
+
+flt("match_or_found", {"match": {"text": "the que"}}, f"list_has_any({TOK}, ['the', 'que'])", "documents", D)
+# a term of over half the documents only counts where a rarer one matches
+register("common_terms_found", "documents", found("documents", {"common": {"text": {"query": "the house que", "cutoff_frequency": 0.5}}}, "doc_id"), f"WITH d AS (SELECT doc_id, {TOK} AS t FROM documents), f AS (SELECT w, (SELECT count(*) FROM d WHERE list_contains(t, w)) > 0.5 * (SELECT count(*) FROM d) AS often FROM (VALUES ('the'), ('house'), ('que')) AS v(w)) SELECT doc_id FROM d WHERE list_has_any(t, (SELECT list(w) FROM f WHERE NOT often))")
+register("anti_join_found", "customer orders", found("customer", {"bool": {"must_not": [{"has_child": {"index": "orders", "parent_field": "o_custkey", "id_field": "c_custkey", "query": {"term": {"o_orderstatus": "P"}}}}]}}, "c_custkey"), "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 
 # ---- sort, page, score ------------------------------------------------------------------------------------------------
 
@@ -71,7 +81,7 @@ register("script_sort", "orders", hits("orders", {"sort": [{"_script": {"script"
 register("post_filter_whole", "orders", hits("orders", {"query": {"range": {"o_totalprice": {"gt": 2000}}}, "post_filter": {"term": {"o_orderstatus": "P"}}, "sort": ["o_orderkey"], "size": None}, "o_orderkey"), "SELECT o_orderkey FROM orders WHERE o_totalprice > 2000 AND o_orderstatus = 'P' ORDER BY o_orderkey")
 register("script_fields_whole", "orders", lambda e: rounded(e.search("orders", {"sort": ["o_orderkey"], "size": None, "script_fields": {"half": {"script": "doc['o_totalprice'].value / 2"}}}).select("o_orderkey", "half")), "SELECT o_orderkey, round(o_totalprice / 2, 4) AS half FROM orders ORDER BY o_orderkey")
 register("source_filter_whole", "orders", lambda e: e.search("orders", {"sort": ["o_orderkey"], "size": None, "_source": {"includes": ["o_*"], "excludes": ["*date", "*priority"]}}).drop("_score"), "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders ORDER BY o_orderkey")
-register("slice_partition", "orders", hits("orders", {"slice": {"id": 1, "max": 4}, "sort": ["o_orderkey"], "size": 100}, "o_orderkey"))
+register("slice_partition", "orders", hits("orders", {"slice": {"id": 1, "max": 4}, "sort": ["o_orderkey"], "size": None}, "o_orderkey"))
 register("named_queries_whole", "orders", lambda e: e.search("orders", {"query": {"bool": {"should": [{"term": {"o_orderstatus": {"value": "F", "_name": "done"}}}, {"range": {"o_totalprice": {"gt": 100000, "_name": "big"}}}]}}, "sort": ["o_orderkey"], "size": None}).select("o_orderkey", F.array_join("matched_queries", ",").alias("names")), "SELECT o_orderkey, array_to_string(list_filter([CASE WHEN o_orderstatus = 'F' THEN 'done' END, CASE WHEN o_totalprice > 100000 THEN 'big' END], lambda x: x IS NOT NULL), ',') AS names FROM orders WHERE o_orderstatus = 'F' OR o_totalprice > 100000 ORDER BY o_orderkey")
 
 
@@ -151,7 +161,7 @@ metric("terms_agg", "orders", {"o_orderpriority": {"terms": {"field": "o_orderpr
 metric("terms_order_metric", "orders", {"o_custkey": {"terms": {"field": "o_custkey", "size": 7, "order": {"total": "desc"}}, "aggs": {"total": {"sum": P}}}}, "SELECT o_custkey, count(*) AS doc_count, round(sum(o_totalprice), 4) AS total FROM orders GROUP BY 1 ORDER BY sum(o_totalprice) DESC, 1 LIMIT 7")
 metric("terms_include_exclude", "orders", {"k": {"terms": {"field": "o_orderpriority", "include": "[1-4].*", "exclude": ["2-HIGH"]}}}, "SELECT o_orderpriority AS k, count(*) AS doc_count FROM orders WHERE regexp_full_match(o_orderpriority, '[1-4].*') AND o_orderpriority <> '2-HIGH' GROUP BY 1")
 metric("terms_missing", "events", {"k": {"terms": {"field": "event_type", "missing": "none"}}}, "SELECT coalesce(event_type, 'none') AS k, count(*) AS doc_count FROM events GROUP BY 1")
-metric("terms_partition", "orders", {"k": {"terms": {"field": "o_custkey", "include": {"partition": 0, "num_partitions": 4}, "size": 1000}}}, None)
+metric("terms_partition", "orders", {"k": {"terms": {"field": "o_custkey", "include": {"partition": 0, "num_partitions": 4}, "size": None}}}, None)
 metric("terms_text", "documents", {"word": {"terms": {"field": "text", "size": 20}}}, f"SELECT word, count(*) AS doc_count FROM (SELECT unnest(list_distinct(list_filter({TOK}, lambda x: x <> ''))) AS word FROM documents) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
 metric("multi_terms", "lineitem", {"k": {"multi_terms": {"terms": [{"field": "l_returnflag"}, {"field": "l_linestatus"}]}, "aggs": {"q": {"sum": {"field": "l_quantity"}}}}}, "SELECT l_returnflag AS k_0, l_linestatus AS k_1, count(*) AS doc_count, round(sum(l_quantity), 4) AS q FROM lineitem GROUP BY 1, 2")
 metric("nested_terms", "lineitem", {"l_returnflag": {"terms": {"field": "l_returnflag"}, "aggs": {"l_linestatus": {"terms": {"field": "l_linestatus"}, "aggs": {"price": {"avg": {"field": "l_extendedprice"}}}}}}}, "SELECT l_returnflag, l_linestatus, count(*) AS doc_count, round(avg(l_extendedprice), 4) AS price FROM lineitem GROUP BY 1, 2")
