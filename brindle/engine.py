@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions.analysis import Analyzers
 from .model import Mapping, mapping_of
 from .operators import aggs
-from .plans.query import QueryCompiler
+from .plans.query import TOKENS, QueryCompiler
 
 
 @dataclass
@@ -43,6 +43,29 @@ class Engine:
         df.createOrReplaceTempView(name)
         return self.indices[name]
 
+    def analyze(self, name: str, fields: list[str], path: str) -> Index:
+        """Store the terms of text fields under `path`, a folder that all executors reach, and search by them.
+
+        Written once: the rows with a column of terms for each field, and for each field a (term, df) table sorted by
+        term, so that a query reads the row groups of its terms only.  The rows are a snapshot of the index."""
+        ix = self.index(name)
+        c = self.compiler(ix, scoring=False)
+        ix.df.withColumns({TOKENS + f: c.tokens(f) for f in fields}).write.parquet(f"{path}/rows")
+        rows, kept = self.spark.read.parquet(f"{path}/rows"), {}
+        for k, f in enumerate(fields):
+            t = F.col(f"`{TOKENS}{f}`")
+            terms = rows.select(F.explode(F.array_distinct(t)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+            terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/terms-{k}")
+            n, mean = rows.filter(F.size(t) > 0).agg(F.count(F.lit(1)), F.avg(F.size(t))).first()
+            kept[f] = self.spark.read.parquet(f"{path}/terms-{k}"), n, mean or 1.0
+        self.indices[name] = Index(name, rows, ix.mapping, ix.id_col, {**ix.settings, "terms": kept})
+        return self.indices[name]
+
+    @staticmethod
+    def shown(df: DataFrame) -> DataFrame:
+        """Without the stored terms."""
+        return df.drop(*(n for n in df.columns if n.startswith(TOKENS)))
+
     def alias(self, name: str, targets: list[str], query: dict | None = None) -> None:
         self.aliases[name] = (targets, query)
 
@@ -56,7 +79,7 @@ class Engine:
             if query:
                 c = self.compiler(out, scoring=False)
                 pred = c.compile(query).pred
-                out = Index(expression, c.df.filter(pred), out.mapping, out.id_col, out.settings)
+                out = Index(expression, c.df.filter(pred), out.mapping, out.id_col, {k: v for k, v in out.settings.items() if k != "terms"})
             return out
         names = []
         for part in expression.split(","):
@@ -70,21 +93,25 @@ class Engine:
             d = self.indices[n].df.withColumn("_index", F.lit(n))
             whole = d if whole is None else whole.unionByName(d, allowMissingColumns=True)
         fields = {k: v for n in reversed(names) for k, v in self.indices[n].mapping.fields.items()}
-        return Index(expression, whole, Mapping(fields, first.mapping.aliases), first.id_col, first.settings)
+        if len(names) > 1:  # an index without stored terms would have none
+            whole = self.shown(whole)
+        return Index(expression, whole, Mapping(fields, first.mapping.aliases), first.id_col, {k: v for k, v in first.settings.items() if k != "terms"})
 
     def compiler(self, ix: Index, scoring: bool = True, now=None) -> QueryCompiler:
-        return QueryCompiler(ix.df, ix.mapping, ix.id_col, self, Analyzers(ix.settings.get("analysis", {}) | {"similarity": ix.settings.get("similarity", {})}), scoring, now)
+        c = QueryCompiler(ix.df, ix.mapping, ix.id_col, self, Analyzers(ix.settings.get("analysis", {}) | {"similarity": ix.settings.get("similarity", {})}), scoring, now)
+        c.terms = ix.settings.get("terms", {})
+        return c
 
     def filtered(self, name: str, query: dict | None) -> DataFrame:
         c = self.compiler(self.index(name), scoring=False)
         pred = c.compile(query).pred
-        return c.df.filter(pred)
+        return self.shown(c.df.filter(pred))
 
     def matches(self, name: str, query: dict | None) -> DataFrame:
         """Matching documents with `_score`."""
         c = self.compiler(self.index(name))
         got = c.compile(query)
-        return c.df.withColumns({"_score": got.score.cast("double"), "_match": got.pred}).filter("_match").drop("_match")
+        return c.df.withColumns({"_score": got.score.cast("double"), "_match": got.pred}).filter("_match").drop("_match").transform(self.shown)
 
     # -- search ---------------------------------------------------------------------------------------------------
 
@@ -112,7 +139,7 @@ class Engine:
             df = df.withColumn("matched_queries", F.filter(F.array(*(F.when(p, F.lit(n)) for n, p in c.named.items())), lambda x: x.isNotNull()))
         if second is not None:
             df = df.withColumns({"_second": second.score.cast("double"), "_second_on": second.pred})
-        df = df.filter("_match").drop("_match")
+        df = self.shown(df.filter("_match").drop("_match"))
         if "min_score" in body:
             df = df.filter(F.col("_score") >= float(body["min_score"]))
         order = []

@@ -63,6 +63,9 @@ def _one(spec: dict, key: str) -> tuple[str, dict[str, Any]]:
     return name, out
 
 
+TOKENS = "__tok_"  # before the name of a text field: its stored terms
+
+
 def _order(inner: dict) -> list[tuple[str, bool]]:
     """(field, descending) of the sort of inner hits."""
     spec = inner.get("sort", [])
@@ -92,6 +95,7 @@ class QueryCompiler:
         self.inner: dict[str, Column] = {}  # inner hits by name
         self.n_flags = 0
         self._stats: dict[str, tuple] = {}
+        self.terms: dict[str, tuple] = {}  # by field: stored (term, df), number and mean length of documents with terms
         self.element: Column | None = None  # inside `nested`: the object
         self.element_path = ""
 
@@ -132,6 +136,8 @@ class QueryCompiler:
         for suffix, n in (("._2gram", 2), ("._3gram", 3), ("._4gram", 4)):
             if name.endswith(suffix):
                 return shingles(self.tokens(name.removesuffix(suffix)), n, n)
+        if (kept := TOKENS + name) in self.df.columns and self.element is None:
+            return F.col(f"`{kept}`")
         c = self.col(name)
         return self.analyzers.tokens(F.array_join(c, " ") if self.many(name) else c, self.analyzer(name))
 
@@ -437,6 +443,11 @@ class QueryCompiler:
         known = self._stats.setdefault(name, (None, None, {}))
         new = [t for t in dict.fromkeys(terms) if t not in known[2]]
         if new or known[0] is None:
+            if name in self.terms:
+                table, n, mean = self.terms[name]
+                found = {r["term"]: r["df"] for r in table.filter(F.col("term").isin(new)).collect()}
+                self._stats[name] = known = (n, mean, known[2] | {x: found.get(x, 0) for x in new})
+                return known
             t = self.df.select(self.tokens(name).alias("t"))
             row = t.agg(F.count(F.when(F.size("t") > 0, 1)).alias("n"), F.avg(F.when(F.size("t") > 0, F.size("t"))).alias("a"), *(F.count(F.when(F.array_contains("t", x), 1)).alias(f"d{i}") for i, x in enumerate(new))).first()
             self._stats[name] = known = (row["n"], row["a"] or 1.0, known[2] | {x: row[f"d{i}"] for i, x in enumerate(new)})
