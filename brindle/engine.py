@@ -39,6 +39,7 @@ class Engine:
     # -- catalogue ------------------------------------------------------------------------------------------------
 
     def register(self, name: str, df: DataFrame, mapping: dict | None = None, id_col: str | None = None, settings: dict | None = None) -> Index:
+        df = self.shown(df)  # rows taken from an analysed index and changed would carry terms of the old texts
         self.indices[name] = Index(name, df, mapping_of(df, mapping), id_col, settings or {})
         df.createOrReplaceTempView(name)
         return self.indices[name]
@@ -119,7 +120,7 @@ class Engine:
         """The hits: source columns, `_score`, and what the request adds."""
         ix = self.index(name)
         for f, spec in (body.get("derived") or {}).items():
-            ix = Index(ix.name, ix.df.withColumn(f, self.compiler(ix).script(spec["script"])), ix.mapping, ix.id_col, ix.settings)
+            ix = Index(ix.name, ix.df.withColumn(f, self.compiler(ix).script(spec["script"])).drop(TOKENS + f), ix.mapping, ix.id_col, {k: v for k, v in ix.settings.items() if k != "terms"})
             ix.mapping = mapping_of(ix.df)
         sort = body.get("sort") or [{"_score": "desc"}]
         sort = sort if isinstance(sort, list) else [sort]

@@ -42,3 +42,12 @@ def test_aliases_and_patterns(both):
     for name in ("spanish", "doc*"):
         a, b = ([(r["doc_id"], round(r["_score"], 9)) for r in e.search(name, body).collect()] for e in both)
         assert a == b and a
+
+
+def test_changed_rows_are_analysed_anew(both, spark):
+    from pyspark.sql import functions as F
+
+    stored = both[1]
+    stored.register("documents", stored.index("documents").df.withColumn("text", F.lit("entirely new words")), {"text": {"type": "text"}}, "doc_id")
+    assert stored.count("documents", {"match": {"text": "que"}}).first()[0] == 0
+    assert stored.count("documents", {"match": {"text": "entirely"}}).first()[0] == stored.index("documents").df.count()
