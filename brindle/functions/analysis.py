@@ -33,6 +33,11 @@ _FOLD_FROM, _FOLD_TO = "".join(_FOLDED), "".join(_FOLDED.values())
 WORD = r"[\p{L}\p{N}_]+(?:['’.](?=[\p{L}\p{N}])[\p{L}\p{N}_]+)*"
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """`f` of a column that is evaluated once for each row; a lambda that names a column evaluates it for each element."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def _all(c: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(group + 1 if group else 1))
 
@@ -81,8 +86,8 @@ def tokenizer(name: str, c: Column, o: dict[str, Any]) -> Column:
         d = o.get("delimiter", "/")
         parts = F.split(c, f"\\Q{d}\\E")
         if o.get("reverse"):
-            return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), d))
-        paths = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), d))
+            return once(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, i, F.size(p)), d)))
+        paths = once(parts, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.array_join(F.slice(p, F.lit(1), i), d)))
         return F.filter(paths, lambda t: t != "")
     raise ValueError(f"unknown tokenizer {name!r}")
 
@@ -134,6 +139,10 @@ def _unique(c: Column) -> Column:
 
 
 def shingles(c: Column, low: int, high: int, sep: str = " ", unigrams: bool = False) -> Column:
+    return once(c, lambda t: _shingles(t, low, high, sep, unigrams))
+
+
+def _shingles(c: Column, low: int, high: int, sep: str, unigrams: bool) -> Column:
     sizes = [*([1] if unigrams else []), *range(low, high + 1)]
     at = lambda i, n: F.array_join(F.slice(c, i, F.lit(n)), sep)
     every = F.transform(
@@ -143,6 +152,12 @@ def shingles(c: Column, low: int, high: int, sep: str = " ", unigrams: bool = Fa
     return F.flatten(every)
 
 
+def _common_grams(c: Column, common: list[str]) -> Column:
+    pair = lambda i: F.when(F.element_at(c, i).isin(common) | F.element_at(c, i + 1).isin(common), F.concat_ws("_", F.element_at(c, i), F.element_at(c, i + 1)))
+    each = F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array(F.element_at(c, i), F.when(i < F.size(c), pair(F.least(i, F.size(c) - 1)))))
+    return F.when(F.size(c) > 1, F.filter(F.flatten(each), lambda t: t.isNotNull())).otherwise(c)
+
+
 def token_filter(name: str, c: Column, o: dict[str, Any]) -> Column:
     if name in ("lowercase", "uppercase"):
         return _per(c, F.lower if name == "lowercase" else F.upper)
@@ -195,10 +210,7 @@ def token_filter(name: str, c: Column, o: dict[str, Any]) -> Column:
     if name == "keyword_repeat":
         return F.flatten(_per(c, lambda t: F.array(t, t)))
     if name == "common_grams":
-        common = list(o["common_words"])
-        pair = lambda i: F.when(F.element_at(c, i).isin(common) | F.element_at(c, i + 1).isin(common), F.concat_ws("_", F.element_at(c, i), F.element_at(c, i + 1)))
-        each = F.transform(F.sequence(F.lit(1), F.size(c)), lambda i: F.array(F.element_at(c, i), F.when(i < F.size(c), pair(F.least(i, F.size(c) - 1)))))
-        return F.when(F.size(c) > 1, F.filter(F.flatten(each), lambda t: t.isNotNull())).otherwise(c)
+        return once(c, lambda t: _common_grams(t, list(o["common_words"])))
     if name in ("synonym", "synonym_graph"):
         out, table = c, synonyms(o["synonyms"])
         if not table:
