@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo, positions, scoring, vectors
-from ..functions.analysis import Analyzers, shingles
+from ..functions.analysis import Analyzers, once, shingles
 from ..functions.script import Script
 from ..model import NUMERIC, RANGES, TEXT, Mapping
 from . import dates
@@ -453,19 +453,32 @@ class QueryCompiler:
             self._stats[name] = known = (row["n"], row["a"] or 1.0, known[2] | {x: row[f"d{i}"] for i, x in enumerate(new)})
         return known
 
+    def frequencies(self, name: str, terms: list[str]) -> tuple[int, dict[str, int]]:
+        """Number of rows and document frequencies in one pass: a text is analysed once and keeps only these terms."""
+        if name in self.terms:
+            table = self.terms[name][0]
+            return self.df.count(), {r["term"]: r["df"] for r in table.filter(F.col("term").isin(terms)).collect()}
+        mine = F.array_distinct(F.filter(self.tokens(name), lambda t: t.isin(terms)))
+        row = F.array(F.lit(None).cast("string"))  # a null for each row; of explode_outer no filter is inferred, which would analyse again
+        found = {r["t"]: r["count"] for r in self.df.select(F.explode_outer(F.concat(row, F.coalesce(mine, F.array().cast("array<string>")))).alias("t")).groupBy("t").count().collect()}
+        return found.pop(None, 0), found
+
     def _bm25(self, name: str, terms: list[str], pred, weights: dict[str, float] | None = None) -> Compiled:
         tokens = self.tokens(name)
-        p = F.coalesce(pred(tokens), F.lit(False))
+        p = F.coalesce(once(tokens, pred) if len(terms) > 1 else pred(tokens), F.lit(False))
         if not self.scoring:
             return Compiled(p, F.lit(1.0))
         n, average, df = self.stats(name, terms)
-        length = F.size(tokens).cast("double")
         o = self.similarity(name)
-        score = F.lit(0.0)
-        for t in dict.fromkeys(terms):
-            if df.get(t):
-                score = score + scoring.bm25(scoring.term_freq(tokens, t), length, average, scoring.idf(n, df[t]) * terms.count(t), **o)
-        return Compiled(p, score)
+
+        def score(tokens: Column) -> Column:
+            out = F.lit(0.0)
+            for t in dict.fromkeys(terms):
+                if df.get(t):
+                    out = out + scoring.bm25(scoring.term_freq(tokens, t), F.size(tokens).cast("double"), average, scoring.idf(n, df[t]) * terms.count(t), **o)
+            return out
+
+        return Compiled(p, once(tokens, score))
 
     def similarity(self, name: str) -> dict[str, float]:
         f = self.mapping.get(name)
@@ -603,21 +616,28 @@ class QueryCompiler:
                 for w in self.analyzed(name, t):
                     counts[w] = counts.get(w, 0) + 1
             if ids:
-                picked = self.df.filter(self.col("_id").isin(ids)).select(F.explode(self.tokens(name)).alias("t")).groupBy("t").count()
-                for r in picked.orderBy(F.desc("count"), "t").limit(10_000).collect():
-                    counts[r["t"]] = counts.get(r["t"], 0) + r["count"]
+                picked = self.df.filter(self.col("_id").isin(ids)).select(F.explode_outer(self.tokens(name)).alias("t")).groupBy("t").count()
+                for r in picked.collect():
+                    if r["t"] is not None:
+                        counts[r["t"]] = counts.get(r["t"], 0) + r["count"]
             terms = [t for t, n in counts.items() if n >= s.get("min_term_freq", 2) and t not in stop and len(t) >= s.get("min_word_length", 0)]
             if not terms:
                 continue
-            frame = self.df.sparkSession.createDataFrame([(t,) for t in terms], "t string")
-            found = self.df.select(F.explode(F.array_distinct(self.tokens(name))).alias("t")).join(F.broadcast(frame), "t").groupBy("t").count()
-            df = {r["t"]: r["count"] for r in found.collect()}
-            n = self.df.count()
+            n, df = self.frequencies(name, terms)
             ranked = sorted((t for t in terms if s.get("min_doc_freq", 5) <= df.get(t, 0) <= s.get("max_doc_freq", 2**31)), key=lambda t: (-counts[t] * (math.log((n + 1) / (df[t] + 1)) + 1), t))
-            should += [{"term": {name: t}} for t in ranked[: s.get("max_query_terms", 25)]]
+            if chosen := ranked[: s.get("max_query_terms", 25)]:
+                should.append((name, chosen))
         if not should:
             return self.const(F.lit(False))
-        out = self.q_bool({"should": should, "minimum_should_match": s.get("minimum_should_match", "30%")})
+        terms = [(name, t) for name, chosen in should for t in chosen]
+        need = minimum_should_match(s.get("minimum_should_match", "30%"), len(terms))
+        held = sum((F.coalesce(F.array_size(F.array_intersect(self.tokens(name), F.array(*map(F.lit, chosen)))), F.lit(0)) for name, chosen in should), F.lit(0))
+        score = F.lit(1.0)
+        if self.scoring:
+            for name, chosen in should:
+                self.stats(name, chosen)
+            score = self.q_bool({"should": [{"term": {name: t}} for name, t in terms]}).score
+        out = Compiled(held >= need, score)
         if ids and not s.get("include"):
             out = Compiled(out.pred & ~self.col("_id").isin(ids), out.score)
         return out
