@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from ..plans import dates
-from . import pipeline
+from . import pipeline, quantiles
 
 METRICS = {"avg", "sum", "min", "max", "value_count", "stats", "extended_stats", "percentiles", "percentile_ranks", "median_absolute_deviation", "cardinality", "weighted_avg", "matrix_stats", "geo_bounds", "geo_centroid", "top_hits", "scripted_metric"}
 PIPES = {"cumulative_sum", "derivative", "serial_diff", "moving_fn", "moving_avg", "bucket_script", "bucket_selector", "bucket_sort"}
@@ -65,6 +65,11 @@ def matched(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inne
     return left.join(right, on, how).drop(*(f"__r_{k}" for k in keys))
 
 
+def beside(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The right table's columns by keys that may be null, or those of its only row; nulls where it has none."""
+    return matched(left, right, keys, "left") if keys else left.join(F.broadcast(right), F.lit(True), "left")
+
+
 class AggCompiler:
     def __init__(self, compiler, df: DataFrame, index):
         self.c, self.df, self.index = compiler, df, index
@@ -112,7 +117,7 @@ class AggCompiler:
             return {name: F.count(v)}
         if kind == "cardinality":
             return {name: F.count_distinct(v) if s.get("exact", True) else F.approx_count_distinct(v, s.get("rsd", 0.02))}
-        if kind == "percentiles":
+        if kind == "percentiles":  # the exact ones of tables are computed by quantiles.percentiles()
             return {f"{name}_{label(p)}": (F.percentile(v, p / 100) if not s.get("approximate") else F.percentile_approx(v, p / 100)) for p in s.get("percents", PERCENTS)}
         if kind == "percentile_ranks":
             return {f"{name}_{label(p)}": F.avg((v <= p).cast("double")) * 100 for p in s["values"]}
@@ -363,15 +368,22 @@ class AggCompiler:
         return out.join(F.broadcast(self.grouped(self.df, [], top).drop("doc_count"))) if top else out  # one row
 
     def grouped(self, df: DataFrame, keys: list[str], metrics: dict[str, dict]) -> DataFrame:
-        columns, deviations = {}, {}
+        columns, deviations, shares = {}, {}, {}
         for n, a in metrics.items():
             kind = kind_of(a)
             if kind == "median_absolute_deviation":
                 deviations[n] = self.value(a[kind])
+            elif kind == "percentiles" and not a[kind].get("approximate") and not df.isStreaming and a[kind].get("percents", PERCENTS):
+                shares[n] = {f"{n}_{label(p)}": p / 100 for p in a[kind].get("percents", PERCENTS)}
+                columns |= dict.fromkeys(shares[n])
             else:
                 columns |= self.metric(n, kind, a[kind])
         count = F.sum(F.coalesce(F.col("_doc_count"), F.lit(1))) if "_doc_count" in df.columns else F.count(F.lit(1))
-        out = df.groupBy(*keys).agg(count.cast("long").alias("doc_count"), *(v.alias(n) for n, v in columns.items()))
+        out = df.groupBy(*keys).agg(count.cast("long").alias("doc_count"), *(v.alias(n) for n, v in columns.items() if v is not None))
+        for n, named in shares.items():
+            out = beside(out, quantiles.percentiles(df, keys, self.value(metrics[n]["percentiles"]), named), keys)
+        if shares:
+            out = out.select(*keys, "doc_count", *columns)
         for n, v in deviations.items():
             out = self.deviation(df, keys, n, v, out)
         return out
@@ -424,13 +436,10 @@ class AggCompiler:
         return out.fillna(0, zero).select(*(c for c in t.columns if c != "__i"))
 
     def deviation(self, df: DataFrame, keys: list[str], name: str, v: Column, out: DataFrame) -> DataFrame:
-        """Median of distances to the median, in two passes."""
-        rows = df.select(*keys, v.cast("double").alias("__v"))
-        if not keys:
-            m = rows.agg(F.percentile("__v", 0.5).alias("__m"))
-            return out.join(rows.join(F.broadcast(m)).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name)))  # one row each
-        m = rows.groupBy(*keys).agg(F.percentile("__v", 0.5).alias("__m"))
-        return out.join(rows.join(m, keys).groupBy(*keys).agg(F.percentile(F.abs(F.col("__v") - F.col("__m")), 0.5).alias(name)), keys)
+        """Median of distances to the median."""
+        rows = df.select(*keys, v.cast("double").alias("__x"))
+        m = quantiles.percentiles(rows, keys, F.col("__x"), {"__m": 0.5})
+        return beside(out, quantiles.percentiles(beside(rows, m, keys), keys, F.abs(F.col("__x") - F.col("__m")), {name: 0.5}), keys)
 
     def cut(self, out: DataFrame, kind: str, s: dict, own: list[str], parents: list[str]) -> DataFrame:
         """min_doc_count, order and size; inside a parent bucket by a window."""
