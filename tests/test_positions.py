@@ -93,3 +93,12 @@ def test_long_texts_take_no_time_by_pairs():
     assert len(positions.evaluate({"sloppy": {"at": [0, 1], "slop": 2}}, long, places)) > 0
     assert positions.evaluate({"not": {"include": {"at": 0}, "exclude": {"at": 1}}}, long, places) == positions.evaluate({"at": 0}, long, places)
     assert len(positions.evaluate({"near": {"clauses": [{"at": 0}, {"at": 1}], "slop": 0, "ordered": True}}, long, places)) == 100_000
+
+
+def test_phrase_with_slop_sends_no_texts_to_python(spark, sf):
+    from brindle.plans import catalogue
+
+    df = catalogue.queries()["phrase_slop"](spark, sf)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "p0" in plan and " AS tokens" not in plan and ", tokens, " not in plan
+    assert df.count() > 0
